@@ -55,6 +55,31 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siltstone_shipped", False):
+        return
+    import pathlib
+    import zipfile
+
+    top = pathlib.Path(__file__).resolve().parents[1]
+    # stays until the process ends: executors that start later fetch it then
+    folder = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    sc.addPyFile(path)
+    sc._siltstone_shipped = True
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -89,14 +114,3 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, min(end, rows) - start)
         start = end
-
-
-def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str = "text") -> DataFrame:
-    """Apply f to Arrow batches of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, by):
-                yield f(part)
-
-    return df.mapInArrow(run, schema)

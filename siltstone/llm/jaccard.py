@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, materialize, release, slices, tasks
+from ._common import drop, map_arrow, materialize, release, slices, tasks
 from .components import components
 from .token_store import texts_of
 
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
                 ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "print", "size", "bands"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, print binary, size int, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text").filter("doc_id is not null"), run, "doc_id long, print binary, size int, bands array<long>")
 
 
 def verify(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
                 grams = [ngrams(x, n).tobytes() for x in texts_of(batch)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(grams, pa.binary())], names=["doc_id", "copies", "grams"])
 
-    grams, _ = materialize(texts.mapInArrow(sets, "doc_id long, copies long, grams binary").filter("length(grams) > 0").dropDuplicates(["doc_id"]), "grams")
+    grams, _ = materialize(map_arrow(texts, sets, "doc_id long, copies long, grams binary").filter("length(grams) > 0").dropDuplicates(["doc_id"]), "grams")
     release(spark)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
             yield unit(rows)
 
     spread = units.join(grams.hint("merge"), "doc_id").repartition(tasks(spark) * 2, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    checked, _ = materialize(spread.mapInArrow(check, "doc_id long, links long, up long"), "checked")
+    checked, _ = materialize(map_arrow(spread, check, "doc_id long, links long, up long"), "checked")
     drop(spark, wanted_at)
     classes = components(checked.select(F.col("doc_id").alias("a"), F.col("up").alias("b")))
     links = checked.groupBy("doc_id").agg(F.sum("links").alias("links"))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import map_arrow, slices
 from .token_store import texts_of
 
 BUCKETS = 1 << 14
@@ -123,7 +123,7 @@ def fit(train: DataFrame) -> Model:
 
     schema = "lang string, counts array<bigint>"
     # one row a task and language, then summed by a few tasks
-    rows = train.mapInArrow(count, schema).repartition(8, "lang").mapInArrow(add, schema).limit(MAX_LANGUAGES + 1).collect()
+    rows = map_arrow(map_arrow(train, count, schema).repartition(8, "lang"), add, schema).limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = sorted(rows, key=lambda r: r["lang"])
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, ambiguous_under: float = 0.2) -> Data
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("_lang", StringType()).add("_score", DoubleType()).add("_ambiguous", BooleanType())
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def label(m: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:

@@ -36,10 +36,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
         by_source.withColumn("weight", weight)
         .withColumn("cap", F.lit(float(most)) * F.col("source_size"))
         .withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        # the level holds from the first source that it does not fill
-        .withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+        # rises with every source that fills up, and falls from the first one that does not
+        .withColumn("water", F.max("level").over(everything))
     )
-    return levels.select("source", "source_size", F.coalesce(F.least("cap", F.col("water") * F.col("weight")), F.col("cap")).alias("target"))
+    return levels.select("source", "source_size", F.least("cap", F.col("water") * F.col("weight")).alias("target"))
 
 
 def draw(doc_id: Column, seed: int) -> Column:

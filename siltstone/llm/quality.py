@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from ._common import slices
+from ._common import map_arrow, slices
 from .token_store import texts_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -30,7 +30,7 @@ class Text:
     """A text and what rules have already found out about it."""
 
     def __init__(self, raw: bytes) -> None:
-        self.raw, self._words = raw, None
+        self.raw, self._words, self.known = raw, None, {}
 
     @property
     def words(self) -> list[bytes]:
@@ -56,9 +56,14 @@ def n_dup_lines(t: Text) -> int:
     return len(lines) - len(set(lines))
 
 
-def n_repeat_words(t: Text, window: int = 5) -> int:
+def n_repeat_words(t: Text) -> int:
+    if "n_repeat_words" not in t.known:
+        t.known["n_repeat_words"] = repeats(t.words)
+    return t.known["n_repeat_words"]
+
+
+def repeats(words: list[bytes], window: int = 5) -> int:
     """Words in windows of five words that the text has twice or more, the first included."""
-    words = t.words
     n = len(words) - window + 1
     if n < 2:
         return 0
@@ -137,7 +142,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(took), pa.array(hit), pa.array(np.full(len(rules), n, np.int64))], names=["rule", "took", "hit", "n"])
 
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample)
-    rows = some.mapInArrow(measure, "rule int, took double, hit long, n long").groupBy("rule").agg(F.sum("took").alias("took"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()
+    rows = map_arrow(some, measure, "rule int, took double, hit long, n long").groupBy("rule").agg(F.sum("took").alias("took"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()
     worth = {r["rule"]: ((r["hit"] + 0.5) / (r["n"] + 1)) / max(r["took"] / max(r["n"], 1), 1e-9) for r in rows}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0.0))]
 
@@ -167,7 +172,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: dict[str
     schema = StructType([*docs.schema.fields]).add("_kept", BooleanType()).add("_rejected_by", StringType())
     for m in measures:
         schema = schema.add(m, LongType())
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 #: What the query reports of each text.

@@ -143,7 +143,7 @@ levels AS (
             / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, (SELECT min(level) FROM levels WHERE level * weight <= cap) * weight), cap) AS target FROM levels),
+  SELECT source, source_size, least(cap, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST('0x' || substr(md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ._common import drop, materialize, release, slices, spread, tasks
+from ._common import drop, map_arrow, materialize, release, slices, spread, tasks
 from .induced_sort import suffix_array
 
 LENGTH, ANCHOR = 50, 16
@@ -138,8 +138,8 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
             yield group(rows)
 
     spark = docs.sparkSession
-    dealt = docs.mapInArrow(find, "g int, hashes binary, counts binary, docs binary, prints binary, starts binary")
-    return dealt.repartition(max(tasks(spark), 1), "g").sortWithinPartitions("g").mapInArrow(select, "doc_id long, starts binary")
+    dealt = map_arrow(docs, find, "g int, hashes binary, counts binary, docs binary, prints binary, starts binary")
+    return map_arrow(dealt.repartition(max(tasks(spark), 1), "g").sortWithinPartitions("g"), select, "doc_id long, starts binary")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def contexts(texts: DataFrame) -> DataFrame:
                 ids = batch.column(0).to_numpy()[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids), pa.array((start - offsets[owner]).astype(np.int32)), bytes_], names=["anchor", "doc_id", "start", "context"])
 
-    return texts.mapInArrow(run, "anchor long, doc_id long, start int, context binary")
+    return map_arrow(texts, run, "anchor long, doc_id long, start int, context binary")
 
 
 def first_owners(found: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -212,7 +212,7 @@ def resolve(distinct: DataFrame) -> DataFrame:
         if rows:
             yield shard(rows)
 
-    return distinct.mapInArrow(run, "anchor long, mark long, owners array<long>")
+    return map_arrow(distinct, run, "anchor long, mark long, owners array<long>")
 
 
 def cut(data: np.ndarray, spans: list[tuple[int, int, list[int] | None]]) -> tuple[bytes, int, int]:
@@ -292,4 +292,4 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 )
 
     schema = StructType([*docs.schema.fields]).add("_left", BinaryType()).add("_n_bytes", LongType()).add("_n_removed", LongType()).add("_n_spans", LongType())
-    return whole.mapInArrow(finish, schema)
+    return map_arrow(whole, finish, schema)

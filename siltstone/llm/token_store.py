@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import scratch, slices, spread, tasks
+from ._common import map_arrow, scratch, slices, spread, tasks
 
 END_ID = 1
 #: Parquet settings of a store.
@@ -141,7 +141,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                 at += int(ends[-1])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    out = ordered.mapInArrow(run, "doc_id long, part int, at long, n_tokens long, input_ids array<int>")
+    out = map_arrow(ordered, run, "doc_id long, part int, at long, n_tokens long, input_ids array<int>")
     out.write.options(**LAYOUT).parquet(path)
 
 
@@ -169,7 +169,7 @@ def with_crc(store: DataFrame) -> DataFrame:
             crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return store.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(store, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, str]:

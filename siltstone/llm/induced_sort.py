@@ -22,6 +22,11 @@ import numpy as np
 SMALL_ALPHABET = 2048
 
 
+def by_character(chars: np.ndarray, alphabet: int) -> np.ndarray:
+    """The stable order of characters; those of 16 bits are sorted by radix."""
+    return np.argsort(chars.astype(np.uint16) if alphabet <= 1 << 16 else chars, kind="stable")
+
+
 class BucketQueues:
     """A first-in first-out queue of (suffix, shared) for each character. Beyond `most` entries the fullest queues go to disk."""
 
@@ -70,33 +75,27 @@ class Least:
     def __init__(self, alphabet: int) -> None:
         self.since = np.zeros(alphabet, np.int64)
 
-    def pass_over(self, shared: np.ndarray, chars: np.ndarray, push: np.ndarray, cap: int) -> np.ndarray:
-        """Pass over a batch with these shared values; where `push`, an entry goes to chars. Returns the shared prefix of each pushed
-        entry with the entry before it in its queue."""
+    def pass_over(self, shared: np.ndarray, at_sorted: np.ndarray, to_sorted: np.ndarray, cap: int) -> np.ndarray:
+        """Pass over a batch with these shared values; entries go to characters to_sorted at places at_sorted, which ascend within a
+        character. Returns the shared prefix of each entry with the one before it in its queue."""
         if not len(shared):
             return shared
-        at = np.flatnonzero(push)
         low = np.minimum.accumulate(shared)
-        if not len(at):
+        if not len(at_sorted):
             self.since = np.minimum(self.since, low[-1])
             return shared[:0]
-        to = chars[at]
-        order = np.argsort(to, kind="stable")
-        to_sorted, at_sorted = to[order], at[order]
         first = np.concatenate([[True], to_sorted[1:] != to_sorted[:-1]])
         # least of shared over (place of the entry before, own place]: a table of minima over powers of two
         begin = np.where(first, 0, np.concatenate([[0], at_sorted[:-1] + 1]))
         found = range_min(shared, begin, at_sorted)
         found[first] = np.minimum(found[first], self.since[to_sorted[first]])
-        out = np.empty_like(found)
-        out[order] = found
         last = np.concatenate([to_sorted[1:] != to_sorted[:-1], [True]])
         self.since = np.minimum(self.since, low[-1])
         tail = np.minimum.accumulate(shared[::-1])[::-1]
         ends = at_sorted[last] + 1
         big = np.int64(cap)
         self.since[to_sorted[last]] = np.where(ends < len(shared), tail[np.minimum(ends, len(shared) - 1)], big)
-        return np.minimum(out + 1, cap)
+        return np.minimum(found + 1, cap)
 
 
 def range_min(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -127,6 +126,8 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarr
     """How many characters, at most cap, the suffixes at a and b share."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
+    if len(a) > 1000:
+        return common_blocks(text, a, b, cap)
     for k in range(cap):
         i, j = a[live] + k, b[live] + k
         inside = np.maximum(i, j) < len(text)
@@ -138,6 +139,35 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarr
     return out
 
 
+def common_blocks(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """As common(), four characters of at most 16 bits at a time."""
+    if int(text.max()) >= 1 << 16:
+        width, words = 1, text
+    else:
+        width, padded = 4, np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.uint64)
+        words = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for k in range(0, cap, width):
+        i, j = a[live] + k, b[live] + k
+        inside = np.maximum(i, j) + width <= len(text)
+        same = inside.copy()
+        same[inside] = words[i[inside]] == words[j[inside]]
+        stop = live[~same]
+        if len(stop) and width > 1:  # the last few one by one
+            for t in range(width):
+                i, j = a[stop] + k + t, b[stop] + k + t
+                ok = np.maximum(i, j) < len(text)
+                ok[ok] = text[i[ok]] == text[j[ok]]
+                stop = stop[ok]
+                out[stop] += 1
+        live = live[same]
+        out[live] += width
+        if not len(live):
+            break
+    return np.minimum(out, cap)
+
+
 def induce(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, shared: np.ndarray, cap: int, most: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and what each shares with the one before, from LMS suffixes in order and what those share."""
     n = len(text)
@@ -152,18 +182,21 @@ def induce(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, shar
     def sweep(at: np.ndarray, common_before: np.ndarray, want_s: bool, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Pass over sorted suffixes; what they induce goes to the queues, or comes back if it is for the character of this very batch."""
         before = at - 1
-        ok = (before >= 0) & (s[before] == want_s)
-        chars = text[before]
-        got = least.pass_over(common_before, chars, ok, cap)
-        before, to = before[ok], chars[ok]
-        mine = to == own
-        order = np.argsort(to[~mine], kind="stable")
-        far, far_to, far_shared = before[~mine][order], to[~mine][order], got[~mine][order]
-        if len(far):
-            edges = np.flatnonzero(np.concatenate([[True], far_to[1:] != far_to[:-1], [True]]))
+        ok = np.flatnonzero((before >= 0) & (s[before] == want_s))
+        before = before[ok]
+        to = text[before]
+        order = by_character(to, alphabet)
+        before, to = before[order], to[order]
+        got = least.pass_over(common_before, ok[order], to, cap) if cap else np.zeros(len(to), np.int64)
+        back = before[:0], got[:0]
+        if len(to):
+            edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])).tolist()
             for i, j in zip(edges[:-1], edges[1:]):
-                queues.put(int(far_to[i]), far[i:j], far_shared[i:j])
-        return before[mine], got[mine]
+                if to[i] == own:
+                    back = before[i:j], got[i:j]
+                else:
+                    queues.put(int(to[i]), before[i:j], got[i:j])
+        return back
 
     # ascending: L suffixes from LMS ones. The end of the text, an empty suffix, comes first of all.
     queues.put(int(text[n - 1]), np.array([n - 1]), np.array([0]))
@@ -221,7 +254,7 @@ def doubled(names: np.ndarray, depth: int) -> np.ndarray:
     while True:
         after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # which of equal ones comes first doesn't matter
         sorted_key = key[order]
         new = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
         rank = np.empty_like(rank)
@@ -255,7 +288,7 @@ def suffix_array(text: np.ndarray, cap: int, most: int = 1 << 24, folder: str |
 
 def sorted_lms(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, cap: int, most: int, folder: str) -> np.ndarray:
     # the pieces from one LMS place to the next, sorted by induction from LMS places in the order of their first character
-    start = lms[np.argsort(text[lms], kind="stable")]
+    start = lms[by_character(text[lms], alphabet)]
     full, _ = induce(text, alphabet, s, start, np.zeros(len(start), np.int64), 0, most, folder)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True

@@ -46,13 +46,17 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width: int = ANCHOR, sides: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, text number, first string, strings): for each maximal run of strings of `length` bytes of one text whose least hash of a
-    substring is the same. Equal strings have equal hashes; starts count from the start of data."""
+    substring is the same. Equal strings have equal hashes; starts count from the start of data.
+
+    With `sides`, also 32-bit hashes of the anchor with as many bytes before it, and after it (0: the text has not so many). Strings are
+    longer than three anchors, so texts that share one agree on one of the two.
+    """
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return none.astype(np.uint64), none, none, none
+        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint32),) * 2 * sides
     h = rolling(data, width)
     inside = length - width + 1
     low, size = h, 1
@@ -63,11 +67,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + length <= offsets[owner[:n] + 1])
     if not len(starts):
-        return none.astype(np.uint64), none, none, none
+        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint32),) * 2 * sides
     value = low[starts]
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)])
     at = np.flatnonzero(new)
-    return value[at], owner[starts[at]], starts[at], np.diff(np.append(at, len(starts)))
+    value, start, strings = value[at], starts[at], np.diff(np.append(at, len(starts)))
+    of = owner[start]
+    if not sides:
+        return value, of, start, strings
+    place = start + strings - 1  # the first place that the last string of the run has for its anchor
+    todo = np.arange(len(place))
+    while len(todo):
+        todo = todo[h[place[todo]] != value[todo]]
+        place[todo] += 1
+    wide = h[:-width] * np.uint64(0x9E3779B97F4A7C15) ^ h[width:]
+    wide = ((wide ^ wide >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    before = np.where(place - width >= offsets[of], wide[np.maximum(place - width, 0)], np.uint32(0)) if len(wide) else np.zeros(len(place), np.uint32)
+    after = np.where(place + 2 * width <= offsets[of + 1], wide[np.minimum(place, len(wide) - 1)], np.uint32(0)) if len(wide) else before
+    return value, of, start, strings, before, after
 
 
 def text_arrays(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -80,29 +97,27 @@ def packed(values: list[np.ndarray], kind) -> pa.Array:
 
 
 def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
-    """(doc_id, starts binary): the anchors, by the start of their run, that texts with another hash have too. Of equal texts the
-    smallest doc_id stands for all. docs: doc_id, text, print (16 bytes, the text's hash)."""
+    """(doc_id, start): the anchors, by the start of their run, that texts with another hash have too, with the same bytes before or
+    after. Of equal texts the smallest doc_id stands for all. docs: doc_id, text, print (16 bytes, the text's hash)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 data, offsets = text_arrays(batch, "text")
-                value, owner, start, _ = anchors(data, offsets)
+                value, owner, start, _, before, after = anchors(data, offsets, sides=True)
                 ids = batch.column(0).to_numpy()
-                prints = np.array([(*np.frombuffer(x, np.uint64),) for x in batch.column(2).to_pylist()], np.uint64).reshape(-1, 2)
+                prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2)
                 group = (value >> np.uint64(20)) % np.uint64(groups)
-                order = np.argsort(group, kind="stable")
-                cuts = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
-                out: dict[str, list] = {k: [] for k in ("g", "hashes", "counts", "docs", "prints", "starts")}
-                for g in np.flatnonzero(np.diff(cuts)):
-                    mine = order[cuts[g] : cuts[g + 1]]
-                    who, n = np.unique(owner[mine], return_counts=True)  # owners ascend
-                    out["g"].append(g)
-                    out["hashes"].append(value[mine])
-                    out["counts"].append(n.astype(np.int32))
-                    out["docs"].append(ids[who])
-                    out["prints"].append(prints[who])
-                    out["starts"].append((start[mine] - offsets[owner[mine]]).astype(np.int32))
+                order = np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
+                group, value, owner, start, before, after = (x[order] for x in (group, value, owner, start, before, after))
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist() if len(group) else []
+                out: dict[str, list] = {k: [] for k in ("g", "hashes", "counts", "docs", "prints", "starts", "before", "after")}
+                for i, j in zip(cuts, cuts[1:]):
+                    who, n = np.unique(owner[i:j], return_counts=True)  # owners ascend
+                    row = value[i:j], n.astype(np.int32), ids[who], prints[who], (start[i:j] - offsets[owner[i:j]]).astype(np.int32), before[i:j], after[i:j]
+                    out["g"].append(int(group[i]))
+                    for k, x in zip(list(out)[1:], row):
+                        out[k].append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(packed(out[k], pa.binary()) for k in list(out)[1:])], names=list(out))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +126,25 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
             value, counts, start = join(0, np.uint64), join(1, np.int32), join(4, np.int32)
             doc = np.repeat(join(2, np.int64), counts)
             text = np.repeat(np.unique(join(3, np.uint64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel(), counts)
-            order = np.lexsort((start, doc, text, value))
-            value, text, doc, start = value[order], text[order], doc[order], start[order]
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            last = np.append(first[1:], len(value)) - 1
-            many = np.repeat(text[first] != text[last], last - first + 1)
+            many = np.zeros(len(value), bool)
+            for side in (join(5, np.uint32), join(6, np.uint32)):
+                has = np.flatnonzero(side)
+                key = value[has] ^ (side[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(key)
+                key, mine = key[order], text[has[order]]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+                if len(first):
+                    differ = np.minimum.reduceat(mine, first) != np.maximum.reduceat(mine, first)
+                    many[has[order]] |= np.repeat(differ, np.diff(np.append(first, len(key))))
+            keep = np.flatnonzero(many)
+            value, text, doc, start = value[keep], text[keep], doc[keep], start[keep]
             # of equal texts only the first document
-            head = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
+            order = np.lexsort((doc, text, value))
+            value, text, doc, start = value[order], text[order], doc[order], start[order]
+            head = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])]) if len(value) else np.zeros(0, bool)
             lowest = np.repeat(doc[head], np.diff(np.append(np.flatnonzero(head), len(doc))))
-            keep = np.flatnonzero(many & (doc == lowest))
-            keep = keep[np.argsort(doc[keep], kind="stable")]
-            ids, at = np.unique(doc[keep], return_index=True)
-            parts = np.split(start[keep], at[1:]) if len(ids) else []
-            return pa.RecordBatch.from_arrays([pa.array(ids), packed(parts, pa.binary())], names=["doc_id", "starts"])
+            mine = doc == lowest
+            return pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array(start[mine])], names=["doc_id", "start"])
 
         key, rows = None, []
         for batch in batches:
@@ -138,19 +159,20 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
             yield group(rows)
 
     spark = docs.sparkSession
-    dealt = map_arrow(docs, find, "g int, hashes binary, counts binary, docs binary, prints binary, starts binary")
-    return map_arrow(dealt.repartition(max(tasks(spark), 1), "g").sortWithinPartitions("g"), select, "doc_id long, starts binary")
+    dealt = map_arrow(docs, find, "g int, hashes binary, counts binary, docs binary, prints binary, starts binary, before binary, after binary")
+    return map_arrow(dealt.repartition(tasks(spark), "g").sortWithinPartitions("g"), select, "doc_id long, start int")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(anchor, doc_id, start, context) for (doc_id, text, starts array<binary>)."""
+    """(anchor, doc_id, start, context) for (doc_id, text, starts array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 data, offsets = text_arrays(batch, "text")
                 value, owner, start, n = anchors(data, offsets)
-                wanted = np.concatenate([np.zeros(0, np.int64), *(offsets[k] + np.frombuffer(b"".join(x), np.int32).astype(np.int64) for k, x in enumerate(batch.column(2).to_pylist()))])
+                lists = batch.column(2)
+                wanted = lists.flatten().to_numpy().astype(np.int64) + np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
                 keep = np.isin(start, wanted)
                 value, owner, start, n = value[keep], owner[keep], start[keep], n[keep] + LENGTH - 1
                 ends = np.concatenate([[0], np.cumsum(n)])
@@ -162,14 +184,15 @@ def contexts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "anchor long, doc_id long, start int, context binary")
 
 
-def first_owners(found: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, the smallest owner of each of its strings, over all contexts. By a suffix sort of all of them."""
-    size = np.array([len(x) for x in found])
-    text = np.frombuffer(b"".join(x + b"\0" for x in found), np.uint8).astype(np.int64) + 1
-    starts = np.concatenate([[0], np.cumsum(size + 1)])
-    text[starts[1:] - 1] = 0  # ends of contexts: below every byte, and in no string
-    which = np.repeat(np.arange(len(found)), size + 1)
-    inside = np.arange(len(text)) - starts[which] <= size[which] - length
+def first_owners(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each string of each context, one after the other, its smallest owner over all contexts. By a suffix sort of all of them."""
+    size, m = np.diff(offsets), len(owner)
+    starts = offsets + np.arange(m + 1)
+    text = np.zeros(starts[-1], np.int64)  # 0, below every byte and in no string, ends each context
+    which = np.repeat(np.arange(m), size + 1)
+    place = np.arange(len(text)) - starts[which]
+    text[place < size[which]] = data.astype(np.int64) + 1
+    inside = place <= size[which] - length
     order, shared = suffix_array(text, length, HELD)
     run = np.cumsum(shared < length)
     strings = inside[order]
@@ -178,39 +201,58 @@ def first_owners(found: list[bytes], owner: np.ndarray, length: int = LENGTH) ->
     least = np.minimum.reduceat(owner[which[order]], heads)
     out = np.empty(len(text), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
-    return [out[a : a + n - length + 1] for a, n in zip(starts[:-1].tolist(), size.tolist())]
+    return out[inside]
+
+
+def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of resolve() for whole groups of contexts of one anchor, sorted by anchor."""
+    anchor, owner = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+    data, offsets = text_arrays(batch, "context")
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    members = np.diff(np.append(first, len(anchor)))
+    # a context whose anchor has no other context shares no string with any
+    rest = np.flatnonzero(np.repeat(members, members) > 1)
+    n = np.ones(len(anchor), np.int64)
+    values = owner
+    if len(rest):
+        size = np.diff(offsets)[rest]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        found = first_owners(data[np.arange(ends[-1]) + np.repeat(offsets[rest] - ends[:-1], size)], ends, owner[rest])
+        strings = size - LENGTH + 1
+        at = np.concatenate([[0], np.cumsum(strings)[:-1]])
+        low, high = np.minimum.reduceat(found, at), np.maximum.reduceat(found, at)
+        n[rest] = np.where(low == high, 1, strings)
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        values = np.empty(cuts[-1], np.int64)
+        values[cuts[:-1]] = owner
+        values[cuts[rest]] = low
+        many = low != high
+        size, to, come = strings[many], cuts[rest][many], at[many]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        values[inner + np.repeat(to, size)] = found[inner + np.repeat(come, size)]
+    cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], names=["anchor", "mark", "owners"])
 
 
 def resolve(distinct: DataFrame) -> DataFrame:
-    """(anchor, mark, owners array<long>) for (anchor, mark, context, owner): the smallest owner of each string of a context, or one
-    value if all are the same."""
+    """(anchor, mark, owners array<long>) for (anchor, mark, context, owner), dealt and sorted by anchor: the smallest owner of each
+    string of a context, or one value if all are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shard(rows: list[tuple]) -> pa.RecordBatch:
-            # a context whose anchor has no other context shares no string with any
-            counts: dict[int, int] = {}
-            for r in rows:
-                counts[r[0]] = counts.get(r[0], 0) + 1
-            sole = [r for r in rows if counts[r[0]] == 1]
-            rest = [r for r in rows if counts[r[0]] > 1]
-            owners = [np.array([r[3]]) for r in sole]
-            if rest:
-                owners += [x[:1] if (x == x[0]).all() else x for x in first_owners([r[2] for r in rest], np.array([r[3] for r in rest], np.int64))]
-            both = sole + rest
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in both], pa.int64()), pa.array([r[1] for r in both], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(owners)))], names=["anchor", "mark", "owners"])
-
-        rows, held, key = [], 0, None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != key and held >= SHARD:
-                    yield shard(rows)
-                    rows, held = [], 0
-                key = row[0]
-                rows.append(row)
-                held += len(row[2])
-        if rows:
-            yield shard(rows)
+            held.append(batch)
+            if sum(x.get_total_buffer_size() for x in held) < SHARD:
+                continue
+            whole = pa.concat_batches(held)
+            anchor = whole.column(0).to_numpy()
+            end = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last anchor may go on
+            if end:
+                yield shard(whole.slice(0, end))
+            held = [whole.slice(end)]
+        whole = pa.concat_batches(held) if held else None
+        if whole is not None and whole.num_rows:
+            yield shard(whole)
 
     return map_arrow(distinct, run, "anchor long, mark long, owners array<long>")
 
@@ -249,7 +291,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     printed = base.withColumn("print", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     starts, starts_at = materialize(shared_anchors(printed, max(1, -(-total // GROUP))), "starts")
     release(spark)
-    texts = base.join(starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")).hint("merge"), "doc_id")
+    texts = base.join(starts.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).hint("merge"), "doc_id")
     found, found_at = materialize(contexts(texts), "contexts")
     drop(spark, starts_at)
     release(spark)

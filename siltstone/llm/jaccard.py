@@ -41,8 +41,9 @@ def word_hash(w: bytes) -> int:
 def word_hashes(words: list[bytes], most: int = 300_000) -> np.ndarray:
     if len(_words) > most:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = word_hash(w)
+    for w in set(words):
+        if w not in _words:
+            _words[w] = word_hash(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -68,11 +69,11 @@ def seeds(count: int) -> np.ndarray:
 def signature(grams: np.ndarray, mult: np.ndarray, rows: int) -> np.ndarray:
     """One hash for each band."""
     low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 1 << 14):  # pieces that stay in the processor's cache
-        part = grams[at : at + (1 << 14)]
-        high = part >> np.uint64(31)
-        for k, a in enumerate(mult):
-            low[k] = min(low[k], ((part * a) ^ high).min())
+    for at in range(0, len(grams), 512):  # pieces that stay in the processor's cache
+        part = grams[at : at + 512]
+        made = mult[:, None] * part
+        made ^= part >> np.uint64(31)
+        np.minimum(low, made.min(1), out=low)
     out = np.full(len(mult) // rows, 7, np.uint64)
     for k in range(rows):
         out = (out ^ low[k::rows]) * np.uint64(0xC2B2AE3D27D4EB4F)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, slices
-from .token_store import END_ID, encoder, load_model, texts_of
+from .token_store import END_ID, PART, encoder, load_model, texts_of
 
 CAPACITY = 4096
 #: Pieces of a length are ranked in so many groups, each by one task.
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", PART):
                 size, tail = enc.dtype.itemsize, np.array([END_ID], enc.dtype).tobytes()
                 doc, number, start, length, crc, ids = [], [], [], [], [], []
                 for doc_id, x in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch)), strict=True):
@@ -196,7 +196,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = {r[0]: r[1] for r in base.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     table = spark.sparkContext.broadcast({a: tuple(np.array(c, np.int64) for c in zip(*x)) for a, x in placements(plan(histogram, capacity)).items()})
     rank = F.row_number().over(Window.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32")) - 1 + F.col("base")
-    ranked = made.join(F.broadcast(base.drop("n")), ["length", "g"]).withColumn("rank", rank.cast("long")).drop("g", "base")
+    # the join and the ranking share one shuffle
+    ranked = made.join(base.drop("n").hint("merge"), ["length", "g"]).withColumn("rank", rank.cast("long")).drop("g", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

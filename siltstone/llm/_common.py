@@ -75,8 +75,14 @@ def ship(spark: SparkSession) -> None:
     sc._siltstone_shipped = True
 
 
+#: Bytes of a batch that goes to a Python worker. Set for the session: Spark's own 64 MB, held in the JVM and the worker for each
+#: task, are much of an executor's memory outside its heap.
+BATCH = 4 << 20
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     return df.mapInArrow(f, schema)
 
 

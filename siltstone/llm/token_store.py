@@ -8,6 +8,7 @@ touches only their pages.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, scratch, slices, spread, tasks
 
 END_ID = 1
+#: Bytes of texts that are encoded at once.
+PART = 2 << 20
 #: Parquet settings of a store.
 LAYOUT = {
     "compression": "zstd",
@@ -39,15 +42,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The tokenizer's own pieces, in UTF-8 with A-Z lower-cased: contractions, runs of letters, digits, runs of other characters.
+#: Bytes from 0x80 on count as letters here; texts in which they are not are told apart when they are learned.
+PIECE = re.compile(rb"'(?:re|ve|ll|[stmd])|[a-z\x80-\xff]+|[0-9]|[^\x20\x09-\x0da-z0-9\x80-\xff]+")
+
+
 class WordEncoder:
-    """Ids of whole texts, by way of the ids of their white-space-separated chunks.
+    """Ids of whole texts, by way of the ids of their pieces.
 
-    A tokenizer with word ends drops white space and never joins ids across it, so a text's ids are those of its chunks in
-    order. Each chunk new to this worker goes through the library once; known ones are looked up. At most `most` chunks are
-    remembered, or those of one batch. Other tokenizers get whole texts.
+    A tokenizer with word ends lower-cases, drops white space, cuts texts into pieces and never joins ids across them, so a text's ids
+    are those of its pieces in order. Pieces new to this worker go through the library once; known ones are looked up. At most `most`
+    pieces are remembered, and those of one batch. Texts with special tokens, or with characters from U+0080 on that are no letters, go
+    through the library whole, as do all texts of other tokenizers.
     """
 
-    def __init__(self, model: str, most: int = 400_000) -> None:
+    def __init__(self, model: str, most: int = 700_000) -> None:
         import json
         import os
 
@@ -55,38 +64,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_str(model), most, {}
-        self.by_word = bool(json.loads(model)["model"].get("end_of_word_suffix"))
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.mark, self.mark_id = "<|endoftext|>", self.tokenizer.token_to_id("<|endoftext|>")
-
-    def learn(self, chunks: list[bytes]) -> None:
-        odd = [x for x in chunks if b"<|" in x]
-        even = [x for x in chunks if b"<|" not in x]
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, self.dtype).tobytes()
-        # chunks go in groups, between marks that split the ids again
-        groups = [even[i : i + 64] for i in range(0, len(even), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(x.decode() for x in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            start = 0
-            for x, end in zip(group, ends, strict=True):
-                self.known[x] = ids[start:end].tobytes()
-                start = end + 1
+        self.by_piece, vocabulary = bool(suffix), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[bytes], group: int = 2048) -> None:
+        words = []
+        for x in pieces:
+            if x.isascii() or x.decode().isalpha():
+                words.append(x)
+            else:
+                self.known[x] = None
+        size = self.dtype.itemsize
+        for at in range(0, len(words), group):  # one call each: what the library returns is much larger than the ids
+            g = words[at : at + group]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(g).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
+            if len(cuts) != len(g):  # a piece that the library sees otherwise
+                self.known.update(zip(g, self.plain([x.decode() for x in g]), strict=True))
+                continue
+            raw, start = ids.tobytes(), 0
+            for x, end in zip(g, cuts.tolist()):
+                self.known[x] = raw[start:end]
+                start = end
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text, its ids as numbers of self.dtype."""
-        if not self.by_word:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
-        words = [x.split() for x in texts]
-        all_words = set().union(*words)
-        new = all_words - self.known.keys()
-        if len(self.known) + len(new) > self.most:
+        if not self.by_piece:
+            return self.plain([x.decode() for x in texts])
+        if len(self.known) > self.most:
             self.known.clear()
-            new = all_words
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        get = self.known.get
+        pieces = [PIECE.findall(x.lower()) for x in texts]
+        ids = [list(map(get, p)) for p in pieces]
+        gaps = [[i for i, x in enumerate(row) if x is None] for row in ids]
+        self.learn(list({p[i] for p, gap in zip(pieces, gaps) for i in gap}.difference(self.known)))
+        out = []
+        for raw, p, row, gap in zip(texts, pieces, ids, gaps):
+            for i in gap:
+                row[i] = get(p[i])
+            odd = b"<|" in raw or any(row[i] is None for i in gap)
+            out += self.plain([raw.decode()]) if odd else [b"".join(row)]
+        return out
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -128,7 +153,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
         enc, part, at = encoder(model.value), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", PART):
                 tail = np.array([end_id], enc.dtype).tobytes()
                 ids = [x + tail for x in enc.encode(texts_of(batch))]
                 n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)

@@ -7,6 +7,7 @@ rejects is not looked at by the rules after it. The verdict, whether any rule re
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from ._common import map_arrow, slices
 from .token_store import texts_of
 
 SYMBOLS = b"#*$%&|<>"
-#: At most so many documents are timed. The sample orders the rules; it has no part in what they say.
+#: About so many documents are timed. The sample orders the rules; it has no part in what they say.
 SAMPLE = 400
 
 
@@ -127,7 +128,7 @@ RULES = (*BASE_RULES, Rule("symbols", symbols), Rule("duplicate_lines", duplicat
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejection per cost, as estimated on at most `sample` documents; ties keep the given order. Only counts and
+    """The rules by rejection per cost, as estimated on about `sample` documents; ties keep the given order. Only counts and
     seconds come to the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
                     took[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(took), pa.array(hit), pa.array(np.full(len(rules), n, np.int64))], names=["rule", "took", "hit", "n"])
 
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample)
+    fraction = min(1.0, sample / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < math.ceil(fraction * (1 << 30))).select("text")
     rows = map_arrow(some, measure, "rule int, took double, hit long, n long").groupBy("rule").agg(F.sum("took").alias("took"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()
     worth = {r["rule"]: ((r["hit"] + 0.5) / (r["n"] + 1)) / max(r["took"] / max(r["n"], 1), 1e-9) for r in rows}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0.0))]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, slices
-from .token_store import END_ID, PART, encoder, load_model, texts_of
+from .token_store import END_ID, PART, encoder, ended, load_model
 
 CAPACITY = 4096
 #: Pieces of a length are ranked in so many groups, each by one task.
@@ -161,15 +161,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         enc = encoder(model.value)
         for whole in batches:
             for batch in slices(whole, "text", PART):
-                size, tail = enc.dtype.itemsize, np.array([END_ID], enc.dtype).tobytes()
                 doc, number, start, length, crc, ids = [], [], [], [], [], []
-                for doc_id, x in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch)), strict=True):
-                    x += tail
-                    for k, at in enumerate(range(0, len(x) // size, capacity)):
-                        part = np.frombuffer(x[at * size : (at + capacity) * size], enc.dtype).astype("<u4")
+                values, ends = ended(*enc.encode(batch.column(1)), END_ID)
+                values, ends = values.astype("<u4"), ends.tolist()
+                for doc_id, begin, end in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                    for k, at in enumerate(range(begin, end, capacity)):
+                        part = values[at : min(at + capacity, end)]
                         doc.append(doc_id)
                         number.append(k)
-                        start.append(at)
+                        start.append(at - begin)
                         length.append(len(part))
                         crc.append(zlib.crc32(part))
                         ids.append(part.astype(np.int32) if with_ids else None)

@@ -8,12 +8,12 @@ touches only their pages.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from ._common import map_arrow, scratch, slices, spread, tasks
 
 END_ID = 1
 #: Bytes of texts that are encoded at once.
-PART = 2 << 20
+PART = 3 << 20
 #: Parquet settings of a store.
 LAYOUT = {
     "compression": "zstd",
@@ -42,16 +42,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: The tokenizer's own pieces, in UTF-8 with A-Z lower-cased: contractions, runs of letters, digits, runs of other characters.
-#: Bytes from 0x80 on count as letters here; texts in which they are not are told apart when they are learned.
-PIECE = re.compile(rb"'(?:re|ve|ll|[stmd])|[a-z\x80-\xff]+|[0-9]|[^\x20\x09-\x0da-z0-9\x80-\xff]+")
+#: The tokenizer's own pieces but for runs of letters, in lower-cased text: contractions, digits, runs of other characters. Characters
+#: from U+0080 on count as letters here; texts in which they are not are told apart when their pieces are learned.
+PIECE = r"('(?:re|ve|ll|[stmd])|[0-9]|[^\x20\x09-\x0Da-z0-9\x{80}-\x{10FFFF}]+)"
+ODD, EMPTY = 0, 1
 
 
 class WordEncoder:
     """Ids of whole texts, by way of the ids of their pieces.
 
     A tokenizer with word ends lower-cases, drops white space, cuts texts into pieces and never joins ids across them, so a text's ids
-    are those of its pieces in order. Pieces new to this worker go through the library once; known ones are looked up. At most `most`
+    are those of its pieces in order. Pieces new to this worker go through the library once; known ones are looked up. About `most`
     pieces are remembered, and those of one batch. Texts with special tokens, or with characters from U+0080 on that are no letters, go
     through the library whole, as do all texts of other tokenizers.
     """
@@ -63,55 +64,90 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_str(model), most, {}
+        self.tokenizer, self.most = Tokenizer.from_str(model), most
         suffix = json.loads(model)["model"].get("end_of_word_suffix")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_piece, vocabulary = bool(suffix), self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self.forget()
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        """Each known piece has a number, and there its place among the ids of all of them."""
+        self.known = {b"": EMPTY}
+        self.ids, self.start, self.size = np.zeros(0, self.dtype), np.zeros(2, np.int64), np.zeros(2, np.int64)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[bytes], group: int = 2048) -> None:
-        words = []
-        for x in pieces:
-            if x.isascii() or x.decode().isalpha():
-                words.append(x)
-            else:
-                self.known[x] = None
-        size = self.dtype.itemsize
+        words = [x for x in pieces if x.isascii() or x.decode().isalpha()]
+        if len(words) < len(pieces):
+            self.known.update(dict.fromkeys(set(pieces).difference(words), ODD))
+        made, sizes = [], []
         for at in range(0, len(words), group):  # one call each: what the library returns is much larger than the ids
             g = words[at : at + group]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(g).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
-            if len(cuts) != len(g):  # a piece that the library sees otherwise
-                self.known.update(zip(g, self.plain([x.decode() for x in g]), strict=True))
-                continue
-            raw, start = ids.tobytes(), 0
-            for x, end in zip(g, cuts.tolist()):
-                self.known[x] = raw[start:end]
-                start = end
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text, its ids as numbers of self.dtype."""
+            ids = self.plain([b" ".join(g).decode()])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(g):
+                made.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:  # a piece that the library sees otherwise
+                each = self.plain([x.decode() for x in g])
+                made += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        if words:
+            self.known.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+            size = np.concatenate(sizes)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, *made])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string array, one after the other, and where each text's begin (one more than texts). Nulls are empty."""
+        raw, cuts = spread(column)  # an array of its own: kernels misread some slices
+        column = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer((cuts - cuts[0]).tobytes()), pa.py_buffer(bytes(raw[cuts[0] : cuts[-1]])))
         if not self.by_piece:
-            return self.plain([x.decode() for x in texts])
+            return joined(self.plain(column.to_pylist()), self.dtype)
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(column), pattern=PIECE, replacement=r" \1 "))
+        found = parts.flatten().dictionary_encode()
+        rows = np.asarray(parts.offsets, dtype=np.int64)
+        rows = rows - rows[0]
+        raw, cuts = spread(found.dictionary)
+        raw, cuts = bytes(raw), cuts.tolist()
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         if len(self.known) > self.most:
-            self.known.clear()
-        get = self.known.get
-        pieces = [PIECE.findall(x.lower()) for x in texts]
-        ids = [list(map(get, p)) for p in pieces]
-        gaps = [[i for i, x in enumerate(row) if x is None] for row in ids]
-        self.learn(list({p[i] for p, gap in zip(pieces, gaps) for i in gap}.difference(self.known)))
-        out = []
-        for raw, p, row, gap in zip(texts, pieces, ids, gaps):
-            for i in gap:
-                row[i] = get(p[i])
-            odd = b"<|" in raw or any(row[i] is None for i in gap)
-            out += self.plain([raw.decode()]) if odd else [b"".join(row)]
-        return out
+            self.forget()
+        numbers = list(map(self.known.get, pieces))
+        new = [k for k, x in enumerate(numbers) if x is None]
+        self.learn([pieces[k] for k in new])
+        for k in new:
+            numbers[k] = self.known[pieces[k]]
+        number = np.array(numbers, np.int64)[found.indices.to_numpy()]
+        size = self.size[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.start[number] - upto[:-1], size)]
+        offsets = upto[rows]
+        odd = {*np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)).tolist()}
+        odd |= {*(np.searchsorted(rows, np.flatnonzero(number == ODD), "right") - 1).tolist()}
+        if odd:
+            whole = np.split(ids, offsets[1:-1])
+            for k, x in zip(sorted(odd), self.plain([column[k].as_py() for k in sorted(odd)])):
+                whole[k] = x
+            return joined(whole, self.dtype)
+        return ids, offsets
+
+
+def joined(rows: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, dtype), *rows]), np.cumsum([0, *map(len, rows)])
+
+
+def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one more id after each text."""
+    n = len(offsets) - 1
+    out = np.full(len(ids) + n, end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
+    return out, offsets + np.arange(n + 1)
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -154,11 +190,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         enc, part, at = encoder(model.value), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text", PART):
-                tail = np.array([end_id], enc.dtype).tobytes()
-                ids = [x + tail for x in enc.encode(texts_of(batch))]
-                n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                values = np.frombuffer(b"".join(ids), enc.dtype).astype(np.int32)
+                ids, ends = ended(*enc.encode(batch.column(1)), end_id)
+                n, values = np.diff(ends), ids.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))],
                     names=["doc_id", "part", "at", "n_tokens", "input_ids"],

@@ -1,5 +1,5 @@
 import brute
-import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,7 +10,8 @@ ODD = "<|endoftext|> don't 'S ''s I'LL ≠ é   —-- \x1c\x1f\x85 İ ΣΣ 1²
 
 
 def ids(texts):
-    return [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode([t.encode() for t in texts])]
+    values, offsets = ENCODER.encode(pa.array(["before", *texts, None], pa.string()).slice(1, len(texts)))
+    return [values[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
 
 @settings(max_examples=300, deadline=None)

@@ -80,10 +80,39 @@ def ship(spark: SparkSession) -> None:
 BATCH = 4 << 20
 
 
+#: What a worker remembers between tasks, by the operator that uses it. Only one operator's is kept.
+_remembered: dict[str, object] = {}
+
+
+def remember(owner: str, make: Callable[[], object]) -> object:
+    """owner's memory in this worker; what other operators have left there goes."""
+    if owner not in _remembered:
+        _remembered.clear()
+        _remembered[owner] = make()
+    return _remembered[owner]
+
+
+def settle() -> None:
+    """Give memory that a task has freed back to the system: workers stay, and allocators keep what they once had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            settle()
+
+    return df.mapInArrow(run, schema)
 
 
 def tasks(spark: SparkSession) -> int:

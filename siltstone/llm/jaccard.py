@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, map_arrow, materialize, release, slices, tasks
+from ._common import drop, map_arrow, materialize, release, remember, slices, tasks
 from .components import components
 from .token_store import texts_of
 
@@ -31,20 +31,18 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-_words: dict[bytes, int] = {}
-
-
 def word_hash(w: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
 
 
 def word_hashes(words: list[bytes], most: int = 300_000) -> np.ndarray:
-    if len(_words) > most:
-        _words.clear()
+    known = remember("word hashes", dict)
+    if len(known) > most:
+        known.clear()
     for w in set(words):
-        if w not in _words:
-            _words[w] = word_hash(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = word_hash(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def ngrams(text: bytes, n: int = WORDS) -> np.ndarray:

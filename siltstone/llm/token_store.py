@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, scratch, slices, spread, tasks
+from ._common import map_arrow, remember, scratch, slices, spread, tasks
 
 END_ID = 1
 #: Bytes of texts that are encoded at once.
@@ -57,7 +57,7 @@ class WordEncoder:
     through the library whole, as do all texts of other tokenizers.
     """
 
-    def __init__(self, model: str, most: int = 700_000) -> None:
+    def __init__(self, model: str, most: int = 400_000) -> None:
         import json
         import os
 
@@ -150,16 +150,9 @@ def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray
     return out, offsets + np.arange(n + 1)
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def encoder(model: str) -> WordEncoder:
-    """One for each worker, kept between tasks."""
-    key = zlib.crc32(model.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(model)
-    return _encoders[key]
+    """One for each worker and model, kept between tasks."""
+    return remember(f"encoder {zlib.crc32(model.encode())}", lambda: WordEncoder(model))
 
 
 def load_model(spark: SparkSession, path: str | None):

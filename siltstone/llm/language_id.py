@@ -90,7 +90,7 @@ class Model:
         bucket, owner, has = grams(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(np.float64)
         margins = np.stack([np.bincount(owner, self.weights[bucket, b], len(texts)) for b in range(self.code.shape[1])], 1) if self.code.shape[1] else np.zeros((len(texts), 0))
-        margins /= np.maximum(n, 1)[:, None] * self.scale
+        margins = margins / (np.maximum(n, 1)[:, None] * self.scale)
         if not self.code.shape[1]:
             return np.zeros((len(texts), len(self.languages))), has
         return np.stack([np.logaddexp(0, -4 * margins * c).mean(1) for c in self.code], 1), has

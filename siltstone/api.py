@@ -91,8 +91,11 @@ class FileIndex:
 
     def refresh(self) -> DataFrame:
         """Write the cache: what differs from main on disk now. Returns the working state."""
-        rows = self._compare(self.working())
-        changed = diff.delta(rows)
+        before = self.working()
+        rows = self._compare(before)
+        # a file that is still gone stays marked for as long as main has it
+        still = before.filter("is_deleted").join(rows.select("path"), "path", "left_anti").select(*rows.columns)
+        changed = diff.delta(rows.unionByName(still))
         if changed.isEmpty():
             self.store.drop("cache")
         else:

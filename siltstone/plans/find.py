@@ -123,7 +123,7 @@ class Parser:
         return self.tokens[self.at - 1]
 
     def parse(self) -> Query:
-        while (t := self.peek()) is not None and not (t.startswith("--") or t in ("!", "(")):
+        while (t := self.peek()) is not None and not (t.startswith("--") or t in ("!", "(", ")")):
             self.query.starts.append(t)
             self.at += 1
         found = []

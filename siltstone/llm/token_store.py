@@ -8,6 +8,7 @@ touches only their pages.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -82,7 +83,7 @@ class WordEncoder:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[bytes], group: int = 2048) -> None:
-        words = [x for x in pieces if x.isascii() or x.decode().isalpha()]
+        words = [x for x in pieces if x.isascii() or letters(x.decode())]
         if len(words) < len(pieces):
             self.known.update(dict.fromkeys(set(pieces).difference(words), ODD))
         made, sizes = [], []
@@ -138,6 +139,11 @@ class WordEncoder:
         return ids, offsets
 
 
+def letters(text: str) -> bool:
+    """Whether a text is all letters, and still is when the tokenizer has composed and lower-cased it."""
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
 def joined(rows: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, dtype), *rows]), np.cumsum([0, *map(len, rows)])
 

@@ -14,12 +14,17 @@ def ids(texts):
     return [values[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.sampled_from(ODD), st.sampled_from([" ", "\n", "\t", "", "\x0b"]), st.text(max_size=6)), max_size=12).map("".join), max_size=4))
 def test_pieces_give_the_ids_of_the_library(texts):
     assert ids(texts) == [brute.ids(t)[:-1] for t in texts]
 
 
+def test_letters_that_the_tokenizer_takes_apart():
+    texts = ["İ'S", "\ufb1d'x", "\u0958-a", "ǅ'll", "ΑΣ's", "ﬁ\u0301,"]
+    assert ids(texts) == [brute.ids(t)[:-1] for t in texts]
+
+
 def test_store_is_read_back_whole(spark, sf):
     from siltstone.llm.queries import op8_token_store
 

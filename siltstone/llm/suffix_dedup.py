@@ -50,13 +50,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
     """(hash, text number, first string, strings): for each maximal run of strings of `length` bytes of one text whose least hash of a
     substring is the same. Equal strings have equal hashes; starts count from the start of data.
 
-    With `sides`, also 32-bit hashes of the anchor with as many bytes before it, and after it (0: the text has not so many). Strings are
+    With `sides`, also 16-bit hashes of the anchor with as many bytes before it, and after it (0: the text has not so many). Strings are
     longer than three anchors, so texts that share one agree on one of the two.
     """
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint32),) * 2 * sides
+        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint16),) * 2 * sides
     h = rolling(data, width)
     inside = length - width + 1
     low, size = h, 1
@@ -67,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + length <= offsets[owner[:n] + 1])
     if not len(starts):
-        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint32),) * 2 * sides
+        return (none.astype(np.uint64), none, none, none) + (none.astype(np.uint16),) * 2 * sides
     value = low[starts]
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)])
     at = np.flatnonzero(new)
@@ -81,9 +81,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
         todo = todo[h[place[todo]] != value[todo]]
         place[todo] += 1
     wide = h[:-width] * np.uint64(0x9E3779B97F4A7C15) ^ h[width:]
-    wide = ((wide ^ wide >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    before = np.where(place - width >= offsets[of], wide[np.maximum(place - width, 0)], np.uint32(0)) if len(wide) else np.zeros(len(place), np.uint32)
-    after = np.where(place + 2 * width <= offsets[of + 1], wide[np.minimum(place, len(wide) - 1)], np.uint32(0)) if len(wide) else before
+    wide = ((wide ^ wide >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    before = np.where(place - width >= offsets[of], wide[np.maximum(place - width, 0)], np.uint16(0)) if len(wide) else np.zeros(len(place), np.uint16)
+    after = np.where(place + 2 * width <= offsets[of + 1], wide[np.minimum(place, len(wide) - 1)], np.uint16(0)) if len(wide) else before
     return value, of, start, strings, before, after
 
 
@@ -96,6 +96,18 @@ def packed(values: list[np.ndarray], kind) -> pa.Array:
     return pa.array([x.tobytes() for x in values], kind)
 
 
+def narrow(value: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each hash. Anchors that then look alike are kept, as shared ones are: nothing is lost by it."""
+    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def widen(raw: bytes) -> np.ndarray:
+    low = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :6] = low
+    return out.reshape(-1).view("<u8")
+
+
 def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
     """(doc_id, start): the anchors, by the start of their run, that texts with another hash have too, with the same bytes before or
     after. Of equal texts the smallest doc_id stands for all. docs: doc_id, text, print (16 bytes, the text's hash)."""
@@ -114,7 +126,7 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
                 out: dict[str, list] = {k: [] for k in ("g", "hashes", "counts", "docs", "prints", "starts", "before", "after")}
                 for i, j in zip(cuts, cuts[1:]):
                     who, n = np.unique(owner[i:j], return_counts=True)  # owners ascend
-                    row = value[i:j], n.astype(np.int32), ids[who], prints[who], (start[i:j] - offsets[owner[i:j]]).astype(np.int32), before[i:j], after[i:j]
+                    row = narrow(value[i:j]), n.astype(np.int32), ids[who], prints[who], (start[i:j] - offsets[owner[i:j]]).astype(np.int32), before[i:j], after[i:j]
                     out["g"].append(int(group[i]))
                     for k, x in zip(list(out)[1:], row):
                         out[k].append(x)
@@ -123,11 +135,11 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(rows: list[list[bytes]]) -> pa.RecordBatch:
             join = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-            value, counts, start = join(0, np.uint64), join(1, np.int32), join(4, np.int32)
+            value, counts, start = widen(join(0, np.uint8)), join(1, np.int32), join(4, np.int32)
             doc = np.repeat(join(2, np.int64), counts)
             text = np.repeat(np.unique(join(3, np.uint64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel(), counts)
             many = np.zeros(len(value), bool)
-            for side in (join(5, np.uint32), join(6, np.uint32)):
+            for side in (join(5, np.uint16), join(6, np.uint16)):
                 has = np.flatnonzero(side)
                 key = value[has] ^ (side[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 order = np.argsort(key)

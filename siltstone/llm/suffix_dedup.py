@@ -307,16 +307,21 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     found, found_at = materialize(contexts(texts), "contexts")
     drop(spark, starts_at)
     release(spark)
-    marked = found.withColumn("mark", F.xxhash64("context"))
+    # the contexts go before they are sorted: what the join needs of them is a third of their size
     distinct = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner")).select("anchor", F.xxhash64("context").alias("mark"), "context", "owner")
+    distinct, distinct_at = materialize(distinct, "distinct")
+    marked, marked_at = materialize(found.select("anchor", F.xxhash64("context").alias("mark"), "doc_id", "start", F.length("context").alias("size")), "marked")
+    drop(spark, found_at)
+    release(spark)
     owners, owners_at = materialize(resolve(distinct.repartition(tasks(spark) * 2, "anchor").sortWithinPartitions("anchor")), "owners")
+    drop(spark, distinct_at)
     release(spark)
-    here = marked.select("anchor", "mark", "doc_id", "start", F.length("context").alias("size")).join(owners.hint("merge"), ["anchor", "mark"])
+    here = marked.join(owners.hint("merge"), ["anchor", "mark"])
     sole = F.size("owners") == 1
     strings = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), i)), lambda x: x.isNotNull())
     lost = here.select("doc_id", F.struct("start", "size", F.when(~sole, strings).alias("strings")).alias("span"), F.when(sole, F.get("owners", F.lit(0)) < F.col("doc_id")).otherwise(F.size(strings) > 0).alias("any")).filter("any")
     spans, _ = materialize(lost.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans")
-    drop(spark, found_at, owners_at)
+    drop(spark, marked_at, owners_at)
     release(spark)
     gone = spans.join(copies.hint("merge").select("doc_id", F.col("print").alias("copy_of")), "doc_id", "full").withColumnRenamed("doc_id", "_doc")
     whole = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")

@@ -50,8 +50,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
     """(hash, text number, first string, strings): for each maximal run of strings of `length` bytes of one text whose least hash of a
     substring is the same. Equal strings have equal hashes; starts count from the start of data.
 
-    With `sides`, also 16-bit hashes of the anchor with as many bytes before it, and after it (0: the text has not so many). Strings are
-    longer than three anchors, so texts that share one agree on one of the two.
+    With `sides`, also 16-bit hashes of the anchor with as many bytes before it, and after it (0: the text has not so many), and a row for
+    each different pair of them that the run has: its anchor may occur in it more than once. Strings are longer than three anchors, so
+    of any place of the anchor in a string one of the two lies in the string, and texts that share the string agree on it.
     """
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
@@ -71,20 +72,36 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width:
     value = low[starts]
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)])
     at = np.flatnonzero(new)
-    value, start, strings = value[at], starts[at], np.diff(np.append(at, len(starts)))
+    start, strings = starts[at], np.diff(np.append(at, len(starts)))
     of = owner[start]
     if not sides:
-        return value, of, start, strings
-    place = start + strings - 1  # the first place that the last string of the run has for its anchor
+        return value[at], of, start, strings
+    # places of an anchor: those whose hash is the least of a string around them
+    least = np.zeros(n + 2 * (inside - 1), np.uint64)
+    least[starts + inside - 1] = value
+    top, size = least, 1
+    while size * 2 <= inside:
+        top = np.maximum(top[:-size], top[size:])
+        size *= 2
+    place = np.flatnonzero(np.maximum(top[: len(h)], top[inside - size : inside - size + len(h)]) == h)
+    string = place + inside - 1
     todo = np.arange(len(place))
     while len(todo):
-        todo = todo[h[place[todo]] != value[todo]]
-        place[todo] += 1
+        todo = todo[least[string[todo]] != h[place[todo]]]
+        string[todo] -= 1
+    run = np.searchsorted(start, string - inside + 1, "right") - 1
+    value, of, start, strings = value[at][run], of[run], start[run], strings[run]
     wide = h[:-width] * np.uint64(0x9E3779B97F4A7C15) ^ h[width:]
     wide = ((wide ^ wide >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
     before = np.where(place - width >= offsets[of], wide[np.maximum(place - width, 0)], np.uint16(0)) if len(wide) else np.zeros(len(place), np.uint16)
     after = np.where(place + 2 * width <= offsets[of + 1], wide[np.minimum(place, len(wide) - 1)], np.uint16(0)) if len(wide) else before
-    return value, of, start, strings, before, after
+    # of the places of one run that look alike one will do
+    several = np.flatnonzero(np.bincount(run)[run] > 1)
+    pair = run[several] << 32 | before[several].astype(np.int64) << 16 | after[several]
+    keep = np.ones(len(run), bool)
+    keep[several] = False
+    keep[several[np.unique(pair, return_index=True)[1]]] = True
+    return tuple(x[keep] for x in (value, of, start, strings, before, after))
 
 
 def text_arrays(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +172,10 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
             value, text, doc, start = value[order], text[order], doc[order], start[order]
             head = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])]) if len(value) else np.zeros(0, bool)
             lowest = np.repeat(doc[head], np.diff(np.append(np.flatnonzero(head), len(doc))))
-            mine = doc == lowest
+            mine = np.flatnonzero(doc == lowest)
+            # a run may have been kept by several places of its anchor
+            mine = mine[np.lexsort((start[mine], doc[mine]))]
+            mine = mine[np.concatenate([[True], (doc[mine[1:]] != doc[mine[:-1]]) | (start[mine[1:]] != start[mine[:-1]])])] if len(mine) else mine
             return pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array(start[mine])], names=["doc_id", "start"])
 
         key, rows = None, []

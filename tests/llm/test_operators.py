@@ -142,6 +142,23 @@ def test_suffix_dedup_of_odd_rows(spark, odd):
     assert suffix_dedup.dedup_substrings(docs.limit(0)).collect() == []
 
 
+def test_suffix_dedup_where_an_anchor_repeats(spark):
+    """Passages whose edges hold the anchor's 16 bytes more than once: rules, leaders, indents, short periods."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = []
+    for unit in (".", " ", "-=", "ab ", "0123456789abcdef", "x" * 16 + "yz"):
+        for _ in range(12):
+            shared, (m, n) = word(40), rng.integers(16, 60, 2)
+            for k in (m, n):
+                leader = (unit * 60)[: int(k)]
+                rows.append((len(rows), word(30) + shared + leader + word(30)))
+                rows.append((len(rows), word(30) + leader[::-1] + shared + word(30)))
+    want = brute.substrings(rows)
+    got = {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, brute.sha(bytes(r._left))) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def check_packing(rows, ids):
     seen, used = Counter(), {}
     for r in rows:

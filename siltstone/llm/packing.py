@@ -1,17 +1,16 @@
-"""Best-fit packing of documents into sequences, by a configuration linear program over the length histogram.
+"""Packing of documents into sequences, by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the least number of configurations that
-cover the histogram; it is solved by multiplicative weights: each round prices the lengths, a knapsack dynamic program finds
-the configuration of the largest price, and the lengths that it covers become cheaper. The fractional solution is rounded down
-to whole numbers of configurations, then the lengths left over go, longest first, into the sequence with the least room that
-takes them. Lengths have at most `capacity` values, so all of this has a bounded size, however many documents there are; it
-runs on the driver. Each piece finds its own place from its rank among the pieces of its length.
+cover the histogram; it is solved by multiplicative weights: each round prices the lengths, a knapsack bounded by the counts left
+finds the configuration of the largest price, and the lengths that it covers become cheaper. A round uses its configuration a whole
+number of times, so the program holds the histogram exactly and no other rule places anything. Lengths have at most `capacity`
+values, so a knapsack has a bounded size, however many documents there are; it runs on the driver. Each piece finds its own place
+from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,94 +25,72 @@ from .token_store import END_ID, PART, encoder, ended, load_model
 CAPACITY = 4096
 #: Pieces of a length are ranked in so many groups, each by one task.
 RANK_GROUPS = 256
+#: How fast prices fall, how much more an id of a long length is worth, the share of a length covered in a step, and the lengths
+#: that the knapsack sees first.
+RATE, LONG, STEP, SEEN = 3.0, 16.0, 0.5, 32
+#: Room, as a share of a sequence, for which a knapsack over some of the lengths is not done again over more of them.
+MOST = 0.02
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of at most `capacity` in all with the largest price: an unbounded knapsack, cut back to counts."""
-    value = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
-    order = np.argsort(lengths)
-    by_length, by_price = lengths[order], prices[order]
-    upto = np.searchsorted(by_length, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        pick[c] = -1
-        if n := upto[c]:
-            worth = by_price[:n] + value[c - by_length[:n]]
-            k = int(worth.argmax())
-            if worth[k] > value[c]:
-                value[c], pick[c] = worth[k], k
+    """The multiset of lengths of at most `capacity` in all, and no length more often than its count, with the largest price: a
+    bounded knapsack. A length that may be taken n times is 1, 2, 4, ... and the rest of n copies in one item each."""
+    items = []
+    for i, (length, bound) in enumerate(zip(lengths.tolist(), np.minimum(counts, capacity // lengths).tolist())):
+        times = 1
+        while bound > 0:
+            items.append((i, min(times, bound), min(times, bound) * length))
+            bound -= times
+            times *= 2
+    value, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for r, (i, times, size) in enumerate(items):
+        worth = value[:-size] + prices[i] * times
+        np.greater(worth, value[size:], out=took[r, size:])
+        np.maximum(worth, value[size:], out=value[size:])
     chosen, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            chosen[int(order[pick[c]])] += 1
-            c -= int(by_length[pick[c]])
-    return Counter({i: min(n, int(counts[i])) for i, n in chosen.items()})
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> dict[tuple, float]:
-    """Configurations (as sorted (length, how often) pairs) and how often each is used, covering about all counts."""
-    need = counts.astype(float)
-    covered = np.zeros(len(lengths))
-    used: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        left = np.maximum(need - covered, 0)
-        if left.sum() < 1:
-            break
-        # multiplicative weights: a length's price starts at its size and falls by exp(-2 * share) with the share covered
-        prices = lengths * np.exp(-2.0 * covered / need) * (left > 0)
-        config = best_configuration(lengths, prices, np.maximum(left, 1).astype(np.int64), capacity)
-        config = Counter({i: n for i, n in config.items() if left[i] > 0})
-        if not config:
-            break
+    for r in range(len(items) - 1, -1, -1):
+        if took[r, c]:
+            i, times, size = items[r]
+            chosen[i] += times
+            c -= size
+    return chosen
+
+
+def program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, int]:
+    """Configurations (as sorted (length, how often) pairs) and how many sequences each makes; together they hold the counts.
+
+    Steps are whole numbers of sequences, so there is nothing to round and nothing is left over. The knapsack first sees the lengths
+    of the largest price for their size, then in the room left those that fit there; if room is still left it sees four
+    times as many at once, and so on to all of them, until the room is less than MOST. So a configuration need not be the best of all.
+    """
+    covered, left = np.zeros(len(lengths), np.int64), counts.copy()
+    used: Counter = Counter()
+    while True:
+        live = np.flatnonzero(left)
+        if not len(live):
+            return dict(used)
+        # multiplicative weights: the price of an id falls by exp(-RATE * share) with the share covered of its length
+        dense = np.exp(-RATE * covered[live] / counts[live]) * (1 + lengths[live] / capacity) ** LONG
+        ranked, seen = live[np.argsort(-dense, kind="stable")], SEEN
+        price = np.zeros(len(lengths))
+        price[live] = dense * lengths[live]
+        while True:
+            some = ranked[:seen]
+            config = {int(some[k]): n for k, n in best_configuration(lengths[some], price[some], left[some], capacity).items()}
+            room = capacity - sum(int(lengths[i]) * n for i, n in config.items())
+            more = ranked[seen:][lengths[ranked[seen:]] <= room]
+            if len(more):
+                config |= {int(more[k]): n for k, n in best_configuration(lengths[more], price[more], left[more], room).items()}
+                room = capacity - sum(int(lengths[i]) * n for i, n in config.items())
+            if seen >= len(ranked) or seen > SEEN and room < MOST * capacity or not room:
+                break
+            seen *= 4
         # as often as the scarcest of its lengths allows, in steps that let prices turn
-        most = min(left[i] / n for i, n in config.items())
-        step = max(min(most, need.sum() / (8 * sum(config.values()))), min(most, 1.0))
+        step = min(min(int(left[i]) // n, max(1, int(counts[i] * STEP) // n)) for i, n in config.items())
         for i, n in config.items():
             covered[i] += n * step
+            left[i] -= n * step
         used[tuple(sorted((int(lengths[i]), n) for i, n in config.items()))] += step
-    return used
-
-
-def best_fit(left: Counter, patterns: dict[tuple, int], capacity: int) -> dict[tuple, int]:
-    """Put each length left, longest first, into the pattern with the least room for it, or else a new one. A pattern stands for
-    all sequences of its kind: a length that goes into several of them splits off a new kind, so nothing is done per piece."""
-    room: dict[int, Counter] = defaultdict(Counter)
-    for p, n in patterns.items():
-        room[capacity - sum(a * b for a, b in p)][p] += n
-    rooms = sorted(room)
-    for length in sorted(left, reverse=True):
-        todo = left[length]
-        while todo:
-            k = bisect_left(rooms, length)
-            if k < len(rooms):
-                free = rooms[k]
-                p, n = next(iter(room[free].items()))
-                del room[free][p]
-                if not room[free]:
-                    del room[free]
-                    rooms.pop(k)
-            else:
-                p, n, free = (), todo, capacity
-            fit = free // length
-            full = min(n, todo // fit)  # sequences that take as many as fit; one more may take the rest
-            rest = todo % fit if full < n else 0
-            for times, each in ((full, fit), (1 if rest else 0, rest), (n - full - (1 if rest else 0) if p else 0, 0)):
-                if times:
-                    q = dict(p)
-                    if each:
-                        q[length] = q.get(length, 0) + each
-                    still = free - each * length
-                    if still not in room:
-                        insort(rooms, still)
-                    room[still][tuple(sorted(q.items()))] += times
-                    todo -= times * each
-    out: Counter = Counter()
-    for kinds in room.values():
-        out.update(kinds)
-    return dict(out)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple, int]:
@@ -123,18 +100,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple, int
         return {}
     lengths = np.array(sorted(left), np.int64)
     counts = np.array([left[int(a)] for a in lengths], np.int64)
-    patterns: Counter = Counter()
-    used = fractional(lengths, counts, capacity)
-    for p, x in sorted(used.items(), key=lambda kv: -kv[1]):
-        n = min([int(x + 1e-9), *(left[a] // b for a, b in p)])
-        if n > 0:
-            patterns[p] += n
-            for a, b in p:
-                left[a] -= b * n
-    left = +left
-    rounded = best_fit(left, dict(patterns), capacity)
-    plain = best_fit(Counter(histogram), {}, capacity)  # the same rule without the program, should rounding have cost more
-    return rounded if sum(rounded.values()) <= sum(plain.values()) else plain
+    return program(lengths, counts, capacity)
 
 
 def placements(patterns: dict[tuple, int]) -> dict[int, list[tuple[int, int, int, int]]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -80,3 +81,42 @@ def similar(docs, threshold=0.8, n=5):
         root[b] = a
     links = Counter(x for p in pairs for x in p)
     return {d: find(d) for d in sets}, {d: links[d] for d in sets}, pairs
+
+
+def best_fit(left, patterns, capacity):
+    """Put each length left, longest first, into the pattern with the least room for it, or else a new one. A pattern stands for
+    all sequences of its kind: a length that goes into several of them splits off a new kind, so nothing is done per piece."""
+    room: dict[int, Counter] = defaultdict(Counter)
+    for p, n in patterns.items():
+        room[capacity - sum(a * b for a, b in p)][p] += n
+    rooms = sorted(room)
+    for length in sorted(left, reverse=True):
+        todo = left[length]
+        while todo:
+            k = bisect_left(rooms, length)
+            if k < len(rooms):
+                free = rooms[k]
+                p, n = next(iter(room[free].items()))
+                del room[free][p]
+                if not room[free]:
+                    del room[free]
+                    rooms.pop(k)
+            else:
+                p, n, free = (), todo, capacity
+            fit = free // length
+            full = min(n, todo // fit)  # sequences that take as many as fit; one more may take the rest
+            rest = todo % fit if full < n else 0
+            for times, each in ((full, fit), (1 if rest else 0, rest), (n - full - (1 if rest else 0) if p else 0, 0)):
+                if times:
+                    q = dict(p)
+                    if each:
+                        q[length] = q.get(length, 0) + each
+                    still = free - each * length
+                    if still not in room:
+                        insort(rooms, still)
+                    room[still][tuple(sorted(q.items()))] += times
+                    todo -= times * each
+    out: Counter = Counter()
+    for kinds in room.values():
+        out.update(kinds)
+    return dict(out)

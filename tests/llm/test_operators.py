@@ -202,6 +202,18 @@ def test_packing_plans_hold_the_histogram():
         assert made == h and total <= sum(a * n for a, n in h.items()) / 100 * 1.1 + 1
 
 
+@pytest.mark.parametrize("kind", ["tokens", "lognormal", "uniform", "long"])
+def test_packing_program_alone_is_as_good_as_best_fit(kind, documents, monkeypatch):
+    rng = np.random.default_rng(7)
+    draws = {"lognormal": lambda: rng.lognormal(5, 1, 400), "uniform": lambda: rng.integers(1, 4097, 300), "long": lambda: rng.integers(1500, 3000, 300)}
+    sizes = [len(brute.ids(t)) for _, t, _, _ in documents] if kind == "tokens" else [int(x) + 1 for x in draws[kind]()]
+    h = Counter(min(x, 4096) for x in sizes)
+    monkeypatch.setattr(packing, "best_fit", None, raising=False)
+    made = packing.plan(h)
+    assert sum((Counter({a: b * n for a, b in p}) for p, n in made.items()), Counter()) == h
+    assert sum(made.values()) <= sum(brute.best_fit(h, {}, 4096).values())
+
+
 def test_search_recall(spark, sf):
     rows = duckdb.execute(f"select vec_id, embedding from '{sf}/embeddings.parquet' order by 1").fetchall()
     x, ids = np.array([e for _, e in rows], float), np.array([i for i, _ in rows])

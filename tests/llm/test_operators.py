@@ -241,6 +241,15 @@ def test_search_of_odd_vectors(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_search_fills_its_rows_from_small_cells(spark):
+    rng = np.random.default_rng(2)
+    far = [[0.0, 1.0, 0.0, 1.0]] * 3 + [[1.0, 0.0, 1.0, 0.0]] * 100
+    x = np.array(far) + rng.normal(0, 0.01, (103, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id < 6")).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(6), 5)
+
+
 def water(sizes, weights=(3, 1, 2)):
     """Targets by resharing the excess until no source is above its limit."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -3,9 +3,10 @@
 A configuration is a multiset of lengths that fits one sequence. The program asks for the least number of configurations that
 cover the histogram; it is solved by multiplicative weights: each round prices the lengths, a knapsack bounded by the counts left
 finds the configuration of the largest price, and the lengths that it covers become cheaper. A round uses its configuration a whole
-number of times, so the program holds the histogram exactly and no other rule places anything. Lengths have at most `capacity`
-values, so a knapsack has a bounded size, however many documents there are; it runs on the driver. Each piece finds its own place
-from its rank among the pieces of its length.
+number of times, so the program holds the histogram exactly and no other rule places anything. Pricing is partial: a knapsack sees
+SEEN of the lengths left, spread over their range, and the next one others. Lengths have at most `capacity`
+values, so a knapsack has a bounded size and the number of rounds grows with the logarithm of the counts, however many documents
+there are; it runs on the driver. Each piece finds its own place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -23,18 +24,16 @@ from ._common import map_arrow, materialize, slices
 from .token_store import END_ID, PART, encoder, ended, load_model
 
 CAPACITY = 4096
-#: Pieces of a length are ranked in so many groups, each by one task.
-RANK_GROUPS = 256
-#: How fast prices fall, how much more an id of a long length is worth, the share of a length covered in a step, and the lengths
-#: that the knapsack sees first.
-RATE, LONG, STEP, SEEN = 3.0, 16.0, 0.5, 32
-#: Room, as a share of a sequence, for which a knapsack over some of the lengths is not done again over more of them.
-MOST = 0.02
+#: Pieces of a length are ranked in groups of about so many, each by one task.
+RANK_GROUP = 8192
+#: How fast prices fall, how much more an id of a long length is worth, and how many lengths a knapsack sees.
+RATE, LONG, SEEN = 3.0, 10.0, 128
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of at most `capacity` in all, and no length more often than its count, with the largest price: a
-    bounded knapsack. A length that may be taken n times is 1, 2, 4, ... and the rest of n copies in one item each."""
+    """The multiset of lengths of at most `capacity` in all, and no length more often than its count, with the largest price, as
+    how often each length's index is taken: a bounded knapsack. A length that may be taken n times is 1, 2, 4, ... and the rest of n
+    copies in one item each."""
     items = []
     for i, (length, bound) in enumerate(zip(lengths.tolist(), np.minimum(counts, capacity // lengths).tolist())):
         times = 1
@@ -59,38 +58,25 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarr
 def program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, int]:
     """Configurations (as sorted (length, how often) pairs) and how many sequences each makes; together they hold the counts.
 
-    Steps are whole numbers of sequences, so there is nothing to round and nothing is left over. The knapsack first sees the lengths
-    of the largest price for their size, then in the room left those that fit there; if room is still left it sees four
-    times as many at once, and so on to all of them, until the room is less than MOST. So a configuration need not be the best of all.
+    Steps are whole numbers of sequences, as many as the scarcest length of the configuration allows, so there is nothing to round and
+    nothing is left over.
     """
-    covered, left = np.zeros(len(lengths), np.int64), counts.copy()
+    left = counts.copy()
     used: Counter = Counter()
-    while True:
-        live = np.flatnonzero(left)
-        if not len(live):
-            return dict(used)
-        # multiplicative weights: the price of an id falls by exp(-RATE * share) with the share covered of its length
-        dense = np.exp(-RATE * covered[live] / counts[live]) * (1 + lengths[live] / capacity) ** LONG
-        ranked, seen = live[np.argsort(-dense, kind="stable")], SEEN
-        price = np.zeros(len(lengths))
-        price[live] = dense * lengths[live]
-        while True:
-            some = ranked[:seen]
-            config = {int(some[k]): n for k, n in best_configuration(lengths[some], price[some], left[some], capacity).items()}
-            room = capacity - sum(int(lengths[i]) * n for i, n in config.items())
-            more = ranked[seen:][lengths[ranked[seen:]] <= room]
-            if len(more):
-                config |= {int(more[k]): n for k, n in best_configuration(lengths[more], price[more], left[more], room).items()}
-                room = capacity - sum(int(lengths[i]) * n for i, n in config.items())
-            if seen >= len(ranked) or seen > SEEN and room < MOST * capacity or not room:
-                break
-            seen *= 4
-        # as often as the scarcest of its lengths allows, in steps that let prices turn
-        step = min(min(int(left[i]) // n, max(1, int(counts[i] * STEP) // n)) for i, n in config.items())
-        for i, n in config.items():
-            covered[i] += n * step
-            left[i] -= n * step
-        used[tuple(sorted((int(lengths[i]), n) for i, n in config.items()))] += step
+    worth = (1 + lengths / capacity) ** LONG * lengths
+    price, turn = worth.copy(), 0
+    while len(live := np.flatnonzero(left)):
+        stride = -(-len(live) // SEEN)
+        seen = live[turn % stride :: stride]
+        turn += 1
+        found = best_configuration(lengths[seen], price[seen], left[seen], capacity)
+        at, n = seen[list(found)], np.array(list(found.values()), np.int64)
+        step = int((left[at] // n).min())
+        left[at] -= n * step
+        # multiplicative weights: the price falls by exp(-RATE * share) with the share covered of its length
+        price[at] = worth[at] * np.exp(-RATE * (1 - left[at] / counts[at]))
+        used[tuple(sorted(zip(lengths[at].tolist(), n.tolist())))] += step
+    return dict(used)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple, int]:
@@ -153,17 +139,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """pieces() with sequence_id and offset (long): where each piece lies. Sequences are gapless from 0 and hold at most
     `capacity` ids. Ties (pieces of one length) are ranked by doc_id, piece and crc. An empty table gives no rows."""
     spark = docs.sparkSession
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int")
-    made, _ = materialize(pieces(docs, tokenizer, capacity, with_ids).withColumn("g", group), "pieces")
-    # at most capacity x RANK_GROUPS rows
+    made, _ = materialize(pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # at most capacity rows
+    table = spark.sparkContext.broadcast({a: tuple(np.array(c, np.int64) for c in zip(*x)) for a, x in placements(plan(histogram, capacity)).items()})
+    # a frequent length is ranked in several groups
+    parts = spark.createDataFrame([(a, -(-n // RANK_GROUP)) for a, n in histogram.items()], "length long, parts long")  # at most capacity rows
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))
+    columns = made.columns
+    made = made.join(F.broadcast(parts), "length").select(*columns, group.alias("g"))
     counts = made.groupBy("length", "g").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    base, _ = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
-    histogram = {r[0]: r[1] for r in base.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
-    table = spark.sparkContext.broadcast({a: tuple(np.array(c, np.int64) for c in zip(*x)) for a, x in placements(plan(histogram, capacity)).items()})
+    base, _ = materialize(counts.select("length", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
     rank = F.row_number().over(Window.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32")) - 1 + F.col("base")
     # the join and the ranking share one shuffle
-    ranked = made.join(base.drop("n").hint("merge"), ["length", "g"]).withColumn("rank", rank.cast("long")).drop("g", "base")
+    ranked = made.join(base.hint("merge"), ["length", "g"]).withColumn("rank", rank.cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +168,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             keep = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
-    columns = [c for c in made.columns if c != "g"]
     ranked = ranked.select(*columns, "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
     return map_arrow(ranked, run, f"{schema}, sequence_id long, offset long")

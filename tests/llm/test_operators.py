@@ -182,6 +182,23 @@ def test_packing_is_exact_and_tight(spark, sf, documents):
     assert n <= -(-sum(map(len, ids.values())) // 4096) + 1
 
 
+def test_packing_ranks_a_frequent_length_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 8)
+    rows = [(i, "one two three" if i % 4 else "four") for i in range(300)] + [(300, "word " * 9000)]
+    ids = {d: brute.ids(t) for d, t in rows}
+    seen, n = check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), ids)
+    assert seen == Counter({d: len(x) for d, x in ids.items()}) and n == -(-sum(map(len, ids.values())) // 4096)
+
+
+@pytest.mark.parametrize("count", [3_000, 1_000_000])
+def test_packing_program_is_near_the_bound(count):
+    """Within 1 % of the ids divided by the capacity, in a number of rounds that hardly grows with the documents."""
+    h = Counter(np.minimum(np.random.default_rng(3).lognormal(5, 1, count).astype(int) + 1, 4096).tolist())
+    made = packing.plan(h)
+    assert sum((Counter({a: b * n for a, b in p}) for p, n in made.items()), Counter()) == h
+    assert sum(made.values()) <= 1.01 * -(-sum(a * n for a, n in h.items()) // 4096) and len(made) < 10_000
+
+
 def test_packing_of_odd_rows(odd):
     ids = {r[0]: brute.ids(r[1]) for r in ROWS}
     seen, _ = check_packing(packing.pack(odd).collect(), ids)

@@ -47,6 +47,20 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> tuple[DataFrame,
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def seal(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs as its `used` columns and one struct, `others`, of all others, so that names made on the way never meet theirs; and a function
+    that takes a frame with those columns apart again: docs' columns in order, with the given ones replaced or added."""
+    others = [c for c in docs.columns if c not in used]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    sealed = docs.select(*map(quoted, used), *([F.struct(*map(quoted, others)).alias("others")] if others else []))
+
+    def open_(df: DataFrame, **made: Column) -> DataFrame:
+        kept = [made[c].alias(c) if c in made else F.col(c) if c in used else F.col("others").getField(c).alias(c) for c in docs.columns]
+        return df.select(*kept, *[x.alias(c) for c, x in made.items() if c not in docs.columns])
+
+    return sealed, open_
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     import gc

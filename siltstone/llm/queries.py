@@ -145,12 +145,18 @@ levels AS (
 targets AS (
   SELECT source, source_size, least(cap, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
 rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+         md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')) AS h
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT *, k, CAST('0x' || substr(h, 1 + CAST(k AS INT), 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) AS once FROM rated, range(0, 20) AS r(k)),
+totals AS (
+  SELECT source, k, abs(CAST(CAST(any_value(source_size * CAST(floor(rate) AS BIGINT)) + sum(CASE WHEN once THEN size ELSE 0 END) AS BIGINT) AS DOUBLE) - any_value(target)) AS off_target
+  FROM drawn GROUP BY source, k),
+best AS (
+  SELECT source, k FROM totals QUALIFY row_number() OVER (PARTITION BY source ORDER BY off_target, k) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN once THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.k = b.k
 """
 
 

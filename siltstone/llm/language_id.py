@@ -142,7 +142,8 @@ def fit(train: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, ambiguous_under: float = 0.2) -> DataFrame:
     """docs with _lang (a learned language; und where text is null or has no letter, or nothing was learned), _score (0 to 1:
     how far the best codeword is ahead of the second; 0 for und, 1 if only one language is known) and _ambiguous (a score under
-    the threshold). Every row stays; columns of docs of those names are replaced."""
+    the threshold). Every row stays; columns of docs of those names are replaced. Equal texts have equal predictions; whole texts are
+    read, however long. An empty table gives no rows."""
     docs = docs.drop("_lang", "_score", "_ambiguous")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES languages: a bounded table
 
@@ -178,5 +179,6 @@ def held_out():
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, then predict all of them. Training is with lang; prediction with text only."""
+    """Learn from the documents that are not held out, then predict all of them, as predict() says. Training is with lang;
+    prediction with text only. Null texts and langs teach nothing; repeated rows count as often as they are there."""
     return predict(docs, fit(docs.filter(~held_out())))

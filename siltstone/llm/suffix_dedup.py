@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ._common import drop, map_arrow, materialize, release, slices, spread, tasks
+from ._common import drop, map_arrow, materialize, release, seal, slices, spread, tasks
 from .induced_sort import suffix_array
 
 LENGTH, ANCHOR = 50, 16
@@ -313,7 +313,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     stays; columns of docs of those names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("_left", "_n_bytes", "_n_removed", "_n_spans")
+    docs, open_ = seal(docs.drop("_left", "_n_bytes", "_n_removed", "_n_spans"), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     base = docs.filter("doc_id is not null").select("doc_id", text.alias("text"))
     prints, _ = materialize(base.select("doc_id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("print"), F.octet_length("text").cast("long").alias("n")), "prints")
@@ -343,18 +343,18 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spans, _ = materialize(lost.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans")
     drop(spark, marked_at, owners_at)
     release(spark)
-    gone = spans.join(copies.hint("merge").select("doc_id", F.col("print").alias("copy_of")), "doc_id", "full").withColumnRenamed("doc_id", "_doc")
-    whole = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    gone = spans.join(copies.hint("merge").select("doc_id", F.col("print").alias("copy_of")), "doc_id", "full").withColumnRenamed("doc_id", "doc")
+    whole = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("doc"), "left")
     mine = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-    whole = whole.select(*docs.columns, "spans", F.coalesce(F.col("copy_of") == mine, F.lit(False)).alias("copy"), text.alias("_text"))
+    whole = whole.select(*docs.columns, "spans", F.coalesce(F.col("copy_of") == mine, F.lit(False)).alias("copy"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, "_text"):
-                data, offsets = text_arrays(batch, "_text")
+            for batch in slices(big, "text"):
+                data, offsets = text_arrays(batch, "text")
                 width = batch.num_columns
                 left, removed, runs = [], [], []
-                for k, (spans, copy) in enumerate(zip(batch.column(width - 3).to_pylist(), batch.column(width - 2).to_pylist())):
+                for k, (spans, copy) in enumerate(zip(batch.column(width - 2).to_pylist(), batch.column(width - 1).to_pylist())):
                     mine = data[offsets[k] : offsets[k + 1]]
                     if copy:
                         result = b"", len(mine), 1
@@ -366,9 +366,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                     removed.append(result[1])
                     runs.append(result[2])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: width - 3], pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                    names=[*batch.schema.names[: width - 3], "_left", "_n_bytes", "_n_removed", "_n_spans"],
+                    [*batch.columns[: width - 2], pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                    names=[*batch.schema.names[: width - 2], "left", "n_bytes", "n_removed", "n_spans"],
                 )
 
-    schema = StructType([*docs.schema.fields]).add("_left", BinaryType()).add("_n_bytes", LongType()).add("_n_removed", LongType()).add("_n_spans", LongType())
-    return map_arrow(whole, finish, schema)
+    schema = StructType([*docs.schema.fields]).add("left", BinaryType()).add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType())
+    made = map_arrow(whole, finish, schema)
+    return open_(made, _left=F.col("left"), _n_bytes=F.col("n_bytes"), _n_removed=F.col("n_removed"), _n_spans=F.col("n_spans"))

@@ -6,6 +6,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import ann, chat, components, induced_sort, jaccard, language_id, line_dedup, mixing, packing, quality, queries, suffix_dedup
 
@@ -296,6 +297,17 @@ def test_mixing_targets(spark, sf, documents):
     assert targets == pytest.approx(want) and sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_mixing_comes_near_the_targets(spark):
+    """Sources of 50 documents: each within 2 % of its target, as a single draw is not."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(20, 200)), f"s{i // 50}") for i in range(600)]
+    got, target = Counter(), {}
+    for r in mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got[r.source] += r._size * r._copies
+        target[r.source] = r._target
+    assert all(abs(got[s] - t) <= 0.02 * t for s, t in target.items())
+
+
 def test_mixing_of_odd_rows(odd):
     out = mixing.mix_sources(odd)
     assert out.columns == odd.columns
@@ -342,6 +354,57 @@ def test_jaccard_of_odd_rows(odd):
     assert jaccard.near_duplicates(odd.limit(0)).collect() == []
 
 
+#: Names that operators and stages use inside, or return.
+INNER = ["_" + x for x in "doc size source_size target rate copies copy lang score ambiguous kept rejected_by left n_bytes n_removed n_spans n_lines n_dropped text rank".split()]
+INNER += "doc others dropped batch key owner i x first shared fresh k h fraction size target rate mix_source source_size copy spans copy_of print n head starts left n_removed node root class_id n_links piece start length g parts base".split()
+CARRY = {
+    "dedup_lines": lambda df: line_dedup.dedup_lines(df),
+    "predict": lambda df: language_id.identify(df),
+    "cascade": lambda df: quality.cascade(df),
+    "dedup_substrings": lambda df: suffix_dedup.dedup_substrings(df),
+    "mix_plan": lambda df: mixing.mix_plan(df),
+    "mix_sources": lambda df: mixing.mix_sources(df),
+    "dedup_near": lambda df: jaccard.dedup_near(df),
+}
+RETURNED = {"dedup_lines": "_n_lines _n_dropped", "predict": "_lang _score _ambiguous", "cascade": "_kept _rejected_by", "dedup_substrings": "_left _n_bytes _n_removed _n_spans", "mix_plan": "_size _source_size _target _rate _copies"}
+
+
+@pytest.mark.parametrize("name", [*CARRY, "language", "lines", "near_duplicates", "mix", "pack"])
+def test_clashing_columns(spark, sf, name):
+    """Columns of any internal name change neither the rows nor the columns' own values."""
+    import corpus_pipeline as c
+
+    run = CARRY[name] if name in CARRY else lambda df: dict(c.STAGES)[name](spark, df, sf)
+    plain = spark.createDataFrame([r[:4] for r in ROWS], "doc_id long, text string, lang string, source string")
+    extra = {x: f"{x}'s" for x in dict.fromkeys(INNER)}
+    rich = plain.select("*", *[F.lit(v).alias(x) for x, v in extra.items()])
+    new = RETURNED.get(name, "").split()
+    want = run(plain)
+    seen = [x for x in want.columns if x not in ("_rejected_by", "sequence_id", "offset")]
+    got = run(rich)
+    assert Counter(map(str, got.select(*seen).collect())) == Counter(map(str, want.select(*seen).collect()))
+    mine = [x for x in extra if x not in new] if name != "pack" else []
+    assert all(r[x] == extra[x] for r in got.select(*mine).collect() for x in mine)
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "near_duplicates", "mix", "pack"])
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, name):
+    import corpus_pipeline as c
+
+    stage = dict(c.STAGES)[name]
+    out = stage(spark, odd, sf)
+    kept = Counter(r.doc_id for r in out.collect())
+    assert name == "pack" or out.columns == odd.columns
+    assert kept == {
+        "language": Counter({r[0]: 1 for r in ROWS if r[0] not in (3, 4, 6)}) + Counter({5: 1}),
+        "lines": Counter(r[0] for r in ROWS),
+        "near_duplicates": Counter(r[0] for r in ROWS) - Counter({8: 1}),
+        "mix": kept,
+        "pack": Counter({d: -(-len(brute.ids(t)) // 4096) * sum(r[0] == d for r in ROWS) for d, t, *_ in ROWS}),
+    }[name]
+    assert stage(spark, odd.limit(0), sf).collect() == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (7, 8), (5, 5), (8, 7)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

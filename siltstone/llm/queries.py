@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", language_id.held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return out.select("doc_id", language_id.held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """N-gram Jaccard join by MinHash banding.
 
-Texts become sets of word n-grams. Equal sets are one node. MinHash signatures are cut into bands; their number is chosen from
-the rows of a band so that a pair at the threshold meets in some band with the target recall. Nodes that share a band hash are
-candidates, and chains of candidates form clusters. Within a cluster every pair is verified on the full n-gram sets, by
-counting shared n-grams in blocks: only counts of links and spanning links leave a block, never its pairs.
+Texts become sets of word n-grams. Equal sets are one node, known by its fingerprint. MinHash signatures are cut into bands; their
+number is chosen from the rows of a band so that a pair at the threshold meets in some band with the target recall. Nodes that share a
+band hash are candidates, and chains of candidates form clusters. Candidates are verified on the full n-gram sets, by counting shared
+n-grams in blocks: only counts of links and spanning links leave a block, never its pairs. Where that takes fewer pairs, a cluster is
+verified as a whole; else band by band, each pair in the first band that it shares, so that a long chain of chance candidates costs no
+more than its bands. Either way every pair that meets in a band is verified once.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .components import components
 from .token_store import texts_of
 
 WORDS, THRESHOLD, ROWS, RECALL = 5, 0.8, 6, 0.9998
-#: Clusters larger than this are verified in blocks of so many nodes.
+#: Clusters and bands larger than this are verified in blocks of so many nodes.
 BLOCK = 384
 
 
@@ -130,72 +132,96 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     whose n-gram set is similar to its own (Jaccard at least `threshold`). A class is what such links connect.
 
     Null texts and texts without words have no n-grams: they are classes of their own. Rows that share a doc_id are one document
-    and so share a class. Rows with a null doc_id have a null class_id and no links.
+    and so share a class; if their texts differ, links of all of them count. Rows with a null doc_id have a null class_id and no
+    links. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    found, _ = materialize(signatures(docs, n, rows, bands_for(threshold, rows, recall)), "signatures")
-    # equal sets: one node, the smallest doc_id
-    copies, _ = materialize(found.select("print", "doc_id").distinct().groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "copies")
-    members = found.select("doc_id", "print").distinct().join(copies.hint("merge"), "print").select("doc_id", "node", "copies")
-    nodes = found.join(copies.hint("merge").select(F.col("print").alias("p"), F.col("node").alias("doc_id")), "doc_id").filter("print = p").drop("p")
+    found, found_at = materialize(signatures(docs, n, rows, bands_for(threshold, rows, recall)), "signatures")
+    # equal sets: one node, found in the document with the smallest doc_id
+    members, members_at = materialize(found.select("doc_id", "print").distinct(), "members")
+    nodes, _ = materialize(members.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
+    signed = found.join(nodes.select("print", F.col("first").alias("doc_id")).hint("merge"), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"])
+    hashes, hashes_at = materialize(signed.select("print", F.posexplode("bands").alias("band", "hash")), "hashes")
     # candidates: nodes of one band hash hang on its smallest
-    hashes = nodes.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    heads = hashes.groupBy("band", "hash").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
+    heads = hashes.groupBy("band", "hash").agg(F.min("print").alias("head"), F.count("*").alias("m")).filter("m > 1")
     heads, heads_at = materialize(heads, "heads")
-    pairs = hashes.join(heads.hint("merge"), ["band", "hash"]).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    clusters, _ = materialize(components(pairs), "clusters")
-    drop(spark, heads_at)
-    # clusters in blocks, and each pair of blocks as one unit
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    dealt = clusters.join(sizes.hint("merge"), "root").withColumn("blocks", F.ceil(F.col("m") / F.lit(float(BLOCK)))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    units = dealt.select("node", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    units = units.select(F.col("node").alias("doc_id"), "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
-    weights = members.filter("doc_id = node").select("doc_id", "copies")
-    wanted, wanted_at = materialize(clusters.select(F.col("node").alias("doc_id")).join(weights, "doc_id"), "wanted")
+    near, near_at = materialize(hashes.join(heads.hint("merge"), ["band", "hash"]), "near")
+    drop(spark, hashes_at)
+    clusters, clusters_at = materialize(components(near.filter("print <> head").select(F.col("print").alias("a"), F.col("head").alias("b"))), "clusters")
+    # the pairs of a cluster as a whole, and those of its bands
+    whole = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    banded = heads.join(clusters.select(F.col("node").alias("head"), "root").hint("merge"), "head").groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    plan = whole.join(banded.hint("merge"), "root").select("root", "size", ((F.col("size") <= BLOCK) | (F.col("size").cast("double") * F.col("size") <= F.col("pairs"))).alias("at_once"))
+    placed = clusters.join(plan.hint("merge"), "root").select(F.col("node").alias("print"), "root", "size", "at_once")
+    placed, placed_at = materialize(placed, "placed")
+    drop(spark, clusters_at, heads_at)
+    once = placed.filter("at_once").select("print", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "size")
+    each = near.join(placed.filter("not at_once").select("print", "root").hint("merge"), "print").select("print", "root", "band", "hash", F.col("m").alias("size"))
+    # in blocks, and each pair of blocks as one unit
+    dealt = once.unionAll(each).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(BLOCK)))).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = ["root", "band", "hash", "i", "j"]
+    units = units.select("print", "root", "band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+    wanted = placed.select("print").join(nodes.hint("merge"), "print").select(F.col("first").alias("doc_id"), F.col("print").alias("wanted"), "copies")
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                grams = [ngrams(x, n).tobytes() for x in texts_of(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(grams, pa.binary())], names=["doc_id", "copies", "grams"])
-
-    grams, _ = materialize(map_arrow(texts, sets, "doc_id long, copies long, grams binary").filter("length(grams) > 0").dropDuplicates(["doc_id"]), "grams")
+        for big in batches:
+            for batch in slices(big, "text"):
+                made = [ngrams(x, n).tobytes() for x in texts_of(batch)]
+                # a doc_id may have several texts: this is the one with that fingerprint
+                keep = np.flatnonzero([hashlib.blake2b(x, digest_size=16).digest() == p for x, p in zip(made, batch.column(2).to_pylist())])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep)), batch.column(3).take(pa.array(keep)), pa.array([made[k] for k in keep], pa.binary())], names=["print", "copies", "grams"])
+
+    grams = map_arrow(texts, sets, "print binary, copies long, grams binary").dropDuplicates(["print"])
+    signs = found.select("print", "bands").join(placed.filter("not at_once").select("print").hint("merge"), "print").dropDuplicates(["print"])
+    grams, grams_at = materialize(grams.join(signs.hint("merge"), "print", "left"), "grams")
     release(spark)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(rows: list[dict]) -> pa.RecordBatch:
-            rows.sort(key=lambda r: (r["second"], r["doc_id"]))
+        def verified(rows: list[dict]) -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r["second"], r["print"]))
             split = sum(not r["second"] for r in rows) if rows[0]["i"] != rows[0]["j"] else None
             linked = verify([np.frombuffer(r["grams"], np.uint64) for r in rows], threshold, split)
+            if (band := rows[0]["band"]) > 0:
+                signs = np.array([r["bands"][:band] for r in rows], np.int64)
+                a, b = np.nonzero(linked)
+                for at in range(0, len(a), 1 << 16):
+                    i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                    met = (signs[i] == signs[j]).any(1)  # in a band before
+                    linked[i[met], j[met]] = False
             links = linked @ np.array([r["copies"] for r in rows], np.int64)
-            ids = np.array([r["doc_id"] for r in rows], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(spanning(linked, ids))], names=["doc_id", "links", "up"])
+            prints = [r["print"] for r in rows]
+            up = spanning(linked, np.argsort(np.argsort(np.array(prints, "S16"))))
+            return pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(links.astype(np.int64)), pa.array([sorted(prints)[k] for k in up], pa.binary())], names=["print", "links", "up"])
 
         key, rows = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                now = (row["root"], row["i"], row["j"])
+                now = tuple(row[c] for c in unit)
                 if now != key and rows:
-                    yield unit(rows)
+                    yield verified(rows)
                     rows = []
                 key = now
                 rows.append(row)
         if rows:
-            yield unit(rows)
-
-    spread = units.join(grams.hint("merge"), "doc_id").repartition(tasks(spark) * 2, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    checked, _ = materialize(map_arrow(spread, check, "doc_id long, links long, up long"), "checked")
-    drop(spark, wanted_at)
-    classes = components(checked.select(F.col("doc_id").alias("a"), F.col("up").alias("b")))
-    links = checked.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    of_node = links.join(classes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-    of_node, _ = materialize(of_node.select(F.col("doc_id").alias("node"), "root", "links"), "classes")
-    result = members.join(of_node.hint("merge"), "node", "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("root", "node")).alias("class_id"), F.sum(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    named = result.select(F.col("doc_id").alias("_doc"), "class_id", "n_links")
-    return docs.select("doc_id").join(named.hint("merge"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+            yield verified(rows)
+
+    spread = units.join(grams.hint("merge"), "print").repartition(tasks(spark) * 2, *unit).sortWithinPartitions(*unit)
+    checked, checked_at = materialize(map_arrow(spread, check, "print binary, links long, up binary"), "checked")
+    drop(spark, grams_at, near_at, placed_at)
+    classes, classes_at = materialize(components(checked.select(F.col("print").alias("a"), F.col("up").alias("b"))), "linked")
+    first = classes.select(F.col("node").alias("print"), "root").join(nodes.select("print", "first").hint("merge"), "print")
+    lowest = first.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = first.join(lowest.hint("merge"), "root").select("print", "class_id")
+    links = checked.groupBy("print").agg(F.sum("links").alias("links"))
+    of_node = nodes.join(links.hint("merge"), "print", "left").join(named.hint("merge"), "print", "left")
+    of_node = of_node.select("print", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    of_doc = members.join(of_node.hint("merge"), "print").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+    of_doc, _ = materialize(of_doc.withColumnRenamed("doc_id", "doc"), "classes")
+    drop(spark, checked_at, classes_at, members_at, found_at)
+    result = docs.select("doc_id").join(of_doc.hint("merge"), F.col("doc_id") == F.col("doc"), "left")
+    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def spanning(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -346,6 +346,45 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     assert got == {d: (classes[d], links[d]) for d in classes}
 
 
+def test_jaccard_band_by_band(spark, monkeypatch):
+    """Chains of candidates: few pairs meet in a band, so clusters are not verified as a whole. One row a band makes chance ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(2500)]
+    rows = [(k, " ".join(words[k * 7 : k * 7 + 90])) for k in range(300)] + [(800 + k, " ".join(words[k * 300 : k * 300 + 250] + [f"t{k}"])) for k in range(8)]
+    rows += [(900 + k, " ".join(words[k * 300 : k * 300 + 250])) for k in range(8)] + [(400, rows[0][1]), (400, rows[80][1])]
+    # the document with two texts is two for the plain version
+    classes, links, pairs = brute.similar([*rows[:-1], (401, rows[-1][1])])
+    ran, real = [], jaccard.map_arrow
+    monkeypatch.setattr(jaccard, "map_arrow", lambda df, f, schema: (ran.append(df) if "second" in df.columns else None) or real(df, f, schema))
+    monkeypatch.setattr(jaccard, "drop", lambda *x: None)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rows=1, recall=1 - 1e-9).collect()}
+    assert ran[0].filter("band >= 0").count() > 0
+    assert got.pop(400) == (min(classes[400], classes[401]), links[400] + links[401])
+    assert got == {d: (classes[d], links[d]) for d in got} and len(pairs) > 10
+
+
+def test_jaccard_recall_at_the_threshold(spark):
+    """Pairs of 0.8 to 0.82: as many found as the bands are chosen for."""
+    rows, pairs = [], 0
+    for k in range(400):
+        words = [f"d{k}w{i}" for i in range(85)]
+        other = words[:80] + [f"x{k}y{i}" for i in range(4 + k % 2)]
+        a, b = brute.grams(" ".join(words[:84])), brute.grams(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.92
+        rows += [(2 * k, " ".join(words[:84])), (2 * k + 1, " ".join(other))]
+        pairs += 1
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links = 1").count()
+    assert got >= 2 * pairs * 0.995
+
+
+def test_jaccard_of_thousands_of_near_copies(spark):
+    """Every one of 3,000 distinct copies of one text is linked to every other, and nothing else is."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join([*base, f"a{k}", f"b{k}"])) for k in range(3000)] + [(5000, "another text of six words")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (0, 2999) for k in range(3000)} | {5000: (5000, 0)}
+
+
 def test_jaccard_of_odd_rows(odd):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(odd).collect()}
     assert got[8] == (7, 1) and got[7] == (7, 1) and got[None] == (None, 0) and got[3] == (3, 0)
@@ -409,6 +448,14 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (7, 8), (5, 5), (8, 7)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7} | {100 + i: 100 for i in range(61)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_with_hubs(spark):
+    """Hubs of more than 1,000 neighbours meet their least one by broadcast."""
+    edges = [(5000, i) for i in range(10, 1500)] + [(6000, i) for i in range(1400, 2700)] + [(3, 2600), (7000, 7001)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 3 for x in [3, 5000, 6000, *range(10, 2700)]} | {7000: 7000, 7001: 7000}
 
 
 def test_pipeline_against_plain_versions(spark, sf, documents):

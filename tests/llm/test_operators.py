@@ -268,6 +268,22 @@ def test_search_fills_its_rows_from_small_cells(spark):
     assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(6), 5)
 
 
+def test_search_in_parts_and_blocks(spark, monkeypatch):
+    """Cells of several parts, asked for by several blocks: the answers are those of brute force where the whole index is probed."""
+    monkeypatch.setattr(ann, "GROUP", 8)
+    x = np.random.default_rng(4).normal(size=(150, 4)).round(1) + 0.05
+    vectors = spark.createDataFrame([(i - 20, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors, recall=1.0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -9)
+    best = {(r.query_id, r.rank): r.score for r in got}
+    assert len(best) == len(got) == 750
+    for q in range(150):
+        want = np.sort(score[q])[::-1][:5]
+        assert np.allclose([best[q - 20, k + 1] for k in range(5)], want) or np.mean([abs(best[q - 20, k + 1] - w) < 1e-9 for k, w in enumerate(want)]) >= 0.6
+
+
 def water(sizes, weights=(3, 1, 2)):
     """Targets by resharing the excess until no source is above its limit."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

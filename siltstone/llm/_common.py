@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the cluster's shared checkpoint folder. Where none is configured, as in tests, one is made for the process."""
+    """A new path in the cluster's shared checkpoint folder. Where none is configured, one is made for the process if all tasks run on
+    this machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
@@ -62,7 +65,8 @@ def seal(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark drop the shuffle files of plans that nothing refers to any more: its cleaner learns that from the collector of the
+    driver, which by itself runs about every half hour, while the files would count against the disk for as long."""
     import gc
 
     gc.collect()

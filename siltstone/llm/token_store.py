@@ -49,11 +49,20 @@ PIECE = r"('(?:re|ve|ll|[stmd])|[0-9]|[^\x20\x09-\x0Da-z0-9\x{80}-\x{10FFFF}]+)"
 ODD, EMPTY = 0, 1
 
 
+def cuts_words(model: dict) -> bool:
+    """Whether a tokenizer's file says that it lower-cases, takes white space for one space, and cuts texts at word ends as PIECE does.
+    Others go through the library whole."""
+    types = [x.get("type") for x in (model.get("normalizer") or {}).get("normalizers", [])]
+    split = [x["pattern"].get("Regex", "") for x in (model.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
+    pieces = sorted(split[0].split("|")) if len(split) == 1 else []
+    known = sorted(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"])
+    return types == ["NFC", "Replace", "Lowercase"] and pieces == known and bool(model["model"].get("end_of_word_suffix"))
+
+
 class WordEncoder:
     """Ids of whole texts, by way of the ids of their pieces.
 
-    A tokenizer with word ends lower-cases, drops white space, cuts texts into pieces and never joins ids across them, so a text's ids
-    are those of its pieces in order. Pieces new to this worker go through the library once; known ones are looked up. About `most`
+    A tokenizer of which cuts_words() holds never joins ids across its pieces, so a text's ids are those of its pieces in order. Pieces new to this worker go through the library once; known ones are looked up. About `most`
     pieces are remembered, and those of one batch. Texts with special tokens, or with characters from U+0080 on that are no letters, go
     through the library whole, as do all texts of other tokenizers.
     """
@@ -66,7 +75,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(model), most
-        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        parsed = json.loads(model)
+        suffix = parsed["model"].get("end_of_word_suffix") if cuts_words(parsed) else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_piece, vocabulary = bool(suffix), self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -215,6 +225,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "input_ids")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens) of a store. The pages of ids are not touched."""
+    return read_store(spark, path).drop("input_ids")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of read_store() with these doc_ids. The list becomes a filter of the scan: row groups, and in them pages of at most
+    2,000 rows, are told apart by the doc_ids they hold, and others are not read. Unknown ids have no row."""
+    starts = F.broadcast(read_starts(spark, path))
+    some = spark.read.parquet(path).filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
+    return some.join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "input_ids")
+
+
 def with_crc(store: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): crc32 of the ids as little-endian unsigned 32-bit integers."""
 

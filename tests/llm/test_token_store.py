@@ -20,6 +20,20 @@ def test_pieces_give_the_ids_of_the_library(texts):
     assert ids(texts) == [brute.ids(t)[:-1] for t in texts]
 
 
+def test_other_tokenizers_go_through_the_library():
+    import json
+
+    import public_tokenizers
+
+    with open(token_store.default_tokenizer(), encoding="utf-8") as f:
+        known = json.load(f)
+    assert token_store.cuts_words(known)
+    known["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}]}
+    assert not token_store.cuts_words(known) and not token_store.WordEncoder(json.dumps(known)).by_piece
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        assert not token_store.cuts_words(json.load(f))
+
+
 def test_letters_that_the_tokenizer_takes_apart():
     texts = ["İ'S", "\ufb1d'x", "\u0958-a", "ǅ'll", "ΑΣ's", "ﬁ\u0301,"]
     assert ids(texts) == [brute.ids(t)[:-1] for t in texts]
@@ -58,3 +72,33 @@ def test_layout(spark, sf):
     assert any("DICTIONARY" in e for e in chunk["input_ids.list.element"].encodings)
     assert "DELTA_BINARY_PACKED" in chunk["at"].encodings
     assert chunk["doc_id"].has_column_index
+
+
+def scans(df):
+    """(column names read, rows that came out of the pages read) of each Parquet scan of a plan that has run."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            out.append((sorted(node.requiredSchema().fieldNames()), node.metrics().apply("numOutputRows").value()))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_selective_reads_touch_only_their_pages(spark):
+    docs = spark.range(0, 30_000).selectExpr("id * 3 as doc_id", "concat('word number ', id) as text")
+    store, path = token_store.encode_documents(docs)
+    want = {r.doc_id: (r.start, list(r.input_ids)) for r in store.filter("doc_id in (300, 45000)").collect()}
+    some = token_store.read_documents(spark, path, [45_000, 300, 1])
+    assert {r.doc_id: (r.start, list(r.input_ids)) for r in some.collect()} == want and len(want) == 2
+    read = [n for columns, n in scans(some) if "input_ids" in columns]
+    assert read and sum(read) <= 2 * 2000
+    plain = token_store.read_metadata(spark, path)
+    assert len(plain.collect()) == 30_000
+    assert all("input_ids" not in columns for columns, _ in scans(plain))

@@ -5,21 +5,27 @@ Sorted LMS suffixes induce all L suffixes in one ascending sweep, and those all
 priority queue by (first character, rank of the next suffix): because the sweep visits suffixes in rank order, what it puts
 in for one character is already in order, so the queue is one first-in first-out queue a character, kept on disk beyond a
 given number of entries. Entries carry the suffix and the length of the prefix that it shares with the entry before it: one more
-than the least value passed since, which the sweep keeps for every character. The LMS suffixes themselves are sorted by recursion: the same
-induction sorts the pieces between them, the pieces get numbers, and the string of numbers is sorted in turn.
+than the least value passed since, which the sweep keeps for every character. The L suffixes wait for the second sweep in such queues
+too, and that sweep hands its output over a character at a time. The LMS suffixes themselves are sorted by recursion: the same
+induction sorts the pieces between them, the pieces get numbers, and the string of numbers is sorted in turn; the recursion ends with a
+string of numbers that is short enough to be ranked in memory (BASE).
 
-Everything works on whole batches of a queue; common prefixes are told apart up to `cap` characters.
+Everything works on whole batches of a queue; common prefixes are told apart up to `cap` characters. The text, its types and the LMS
+suffixes, about eight bytes a character, are in memory.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 
-#: Numbers of pieces above this are ranked by doubling in memory, as a queue for each would hold next to nothing.
-SMALL_ALPHABET = 2048
+#: A string of at most so many numbers of pieces ends the recursion: it is ranked by doubling, in about 50 bytes a number.
+BASE = 1 << 20
+#: Suffixes, and what they share.
+AT, SHARED = np.int32, np.int16
 
 
 def by_character(chars: np.ndarray, alphabet: int) -> np.ndarray:
@@ -46,9 +52,12 @@ class BucketQueues:
         while self.held > self.most // 2 and self.sizes.max():
             char = int(self.sizes.argmax())
             kept = [x for x in self.queues[char] if not isinstance(x, str)]
-            path = os.path.join(self.folder, f"{id(self)}-{self.files}.npy")
+            path = os.path.join(self.folder, f"{id(self)}-{self.files}")
             self.files += 1
-            np.save(path, np.stack([np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])]))
+            with open(path, "wb") as f:
+                for k in (0, 1):
+                    for x in kept:
+                        f.write(x[k].tobytes())
             self.queues[char] = [x for x in self.queues[char] if isinstance(x, str)] + [path]
             self.held -= int(self.sizes[char])
             self.sizes[char] = 0
@@ -57,15 +66,17 @@ class BucketQueues:
         parts = []
         for x in self.queues[char]:
             if isinstance(x, str):
-                suffix, shared = np.load(x)
+                with open(x, "rb") as f:
+                    raw = f.read()
                 os.unlink(x)
-                parts.append((suffix, shared))
+                n = len(raw) // (AT().itemsize + SHARED().itemsize)
+                parts.append((np.frombuffer(raw, AT, n), np.frombuffer(raw, SHARED, n, n * AT().itemsize)))
             else:
                 parts.append(x)
         self.held -= int(self.sizes[char])
         self.sizes[char], self.queues[char] = 0, []
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, AT), np.zeros(0, SHARED)
         return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
@@ -73,7 +84,7 @@ class Least:
     """For each character the least shared prefix passed since its last entry."""
 
     def __init__(self, alphabet: int) -> None:
-        self.since = np.zeros(alphabet, np.int64)
+        self.since = np.zeros(alphabet, SHARED)
 
     def pass_over(self, shared: np.ndarray, at_sorted: np.ndarray, to_sorted: np.ndarray, cap: int) -> np.ndarray:
         """Pass over a batch with these shared values; entries go to characters to_sorted at places at_sorted, which ascend within a
@@ -93,9 +104,8 @@ class Least:
         self.since = np.minimum(self.since, low[-1])
         tail = np.minimum.accumulate(shared[::-1])[::-1]
         ends = at_sorted[last] + 1
-        big = np.int64(cap)
-        self.since[to_sorted[last]] = np.where(ends < len(shared), tail[np.minimum(ends, len(shared) - 1)], big)
-        return np.minimum(found + 1, cap)
+        self.since[to_sorted[last]] = np.where(ends < len(shared), tail[np.minimum(ends, len(shared) - 1)], SHARED(cap))
+        return np.minimum(found + SHARED(1), SHARED(cap))
 
 
 def range_min(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -168,27 +178,26 @@ def common_blocks(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> n
     return np.minimum(out, cap)
 
 
-def induce(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, shared: np.ndarray, cap: int, most: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and what each shares with the one before, from LMS suffixes in order and what those share."""
+def induce(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, shared: np.ndarray, cap: int, most: int, folder: str, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """All suffixes, from LMS suffixes in order and what those share with the one before. They are emitted in descending order, all of a
+    first character at a time, each with what it shares with the one emitted before it (0 for the first of a character)."""
     n = len(text)
-    seeds: list[tuple[np.ndarray, np.ndarray]] = [(lms[:0], shared[:0])] * alphabet
+    none = np.zeros(0, AT), np.zeros(0, SHARED)
     heads = text[lms]
     cuts = np.searchsorted(heads, np.arange(alphabet + 1))
-    for c in np.unique(heads):
-        seeds[c] = (lms[cuts[c] : cuts[c + 1]], shared[cuts[c] : cuts[c + 1]])
     queues, least = BucketQueues(alphabet, most, folder), Least(alphabet)
-    l_parts: list[tuple[np.ndarray, np.ndarray]] = [None] * alphabet
+    ascending = BucketQueues(alphabet, most, folder)
 
     def sweep(at: np.ndarray, common_before: np.ndarray, want_s: bool, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Pass over sorted suffixes; what they induce goes to the queues, or comes back if it is for the character of this very batch."""
-        before = at - 1
+        before = at - AT(1)
         ok = np.flatnonzero((before >= 0) & (s[before] == want_s))
         before = before[ok]
         to = text[before]
         order = by_character(to, alphabet)
         before, to = before[order], to[order]
-        got = least.pass_over(common_before, ok[order], to, cap) if cap else np.zeros(len(to), np.int64)
-        back = before[:0], got[:0]
+        got = least.pass_over(common_before, ok[order], to, cap) if cap else np.zeros(len(to), SHARED)
+        back = none
         if len(to):
             edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])).tolist()
             for i, j in zip(edges[:-1], edges[1:]):
@@ -198,54 +207,41 @@ def induce(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, shar
                     queues.put(int(to[i]), before[i:j], got[i:j])
         return back
 
+    def drain(c: int, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All of the queue of a character, with what it induces for itself."""
+        at, common_before = queues.take(c)
+        if len(at):
+            common_before = common_before.copy()
+            common_before[0] = 0  # the first of its character
+        parts = [none]
+        while len(at):
+            parts.append((at, common_before))
+            at, common_before = sweep(at, common_before, want_s, c)
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
     # ascending: L suffixes from LMS ones. The end of the text, an empty suffix, comes first of all.
-    queues.put(int(text[n - 1]), np.array([n - 1]), np.array([0]))
+    queues.put(int(text[n - 1]), np.array([n - 1], AT), np.array([0], SHARED))
     least.since[text[n - 1]] = 0
     for c in range(alphabet):
-        at, with_before = queues.take(c)
-        if len(at):
-            with_before = with_before.copy()
-            with_before[0] = 0  # the first of its character
-        parts = []
-        while len(at):
-            parts.append((at, with_before))
-            at, with_before = sweep(at, with_before, False, c)
-        l_parts[c] = (np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seed, seed_shared = seeds[c]
+        l_at, l_before = drain(c, False)
+        if len(l_at):
+            ascending.put(c, l_at, l_before)
+        seed, seed_shared = lms[cuts[c] : cuts[c + 1]], shared[cuts[c] : cuts[c + 1]].copy()
         if len(seed):
-            seed_shared = seed_shared.copy()
-            seed_shared[0] = common(text, l_parts[c][0][-1:], seed[:1], cap)[0] if len(l_parts[c][0]) else 0
+            seed_shared[0] = common(text, l_at[-1:], seed[:1], cap)[0] if len(l_at) else 0
             sweep(seed, seed_shared, False, -1)
     # descending: S suffixes from all. Here an entry carries what it shares with the one after it.
     queues, least = BucketQueues(alphabet, most, folder), Least(alphabet)
-    order: list[np.ndarray] = []
-    values: list[np.ndarray] = []
     for c in range(alphabet - 1, -1, -1):
-        at, with_after = queues.take(c)
-        if len(at):
-            with_after = with_after.copy()
-            with_after[0] = 0
-        parts = []
-        while len(at):
-            parts.append((at, with_after))
-            at, with_after = sweep(at, with_after, True, c)
-        l_at, l_before = l_parts[c]
-        if parts:
-            s_at, s_after = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-        else:
-            s_at, s_after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        s_at, s_after = drain(c, True)
+        l_at, l_before = ascending.take(c)
         if len(l_at):
             seam = common(text, l_at[-1:], s_at[-1:], cap)[0] if len(s_at) else 0
-            down = l_at[::-1]
-            after = np.concatenate([[seam], l_before[1:][::-1]])
-            sweep(down, after, True, -1)
-        both = np.concatenate([s_at, l_at[::-1]])
-        shared_after = np.concatenate([s_after, after]) if len(l_at) else s_after
-        order.append(both)
-        values.append(shared_after)
-    full = np.concatenate(order)[::-1]
-    after = np.concatenate(values)[::-1]  # with the next one; 0 at the end of a character
-    return full, np.concatenate([[0], after[:-1]])
+            after = np.concatenate([np.array([seam], SHARED), l_before[1:][::-1]])
+            sweep(l_at[::-1], after, True, -1)
+            s_at, s_after = np.concatenate([s_at, l_at[::-1]]), np.concatenate([s_after, after])
+        if len(s_at):
+            emit(s_at, s_after)
 
 
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
@@ -264,37 +260,45 @@ def doubled(names: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-def suffix_array(text: np.ndarray, cap: int, most: int = 1 << 24, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of a string of small numbers in the order of their first `cap` characters at least, and for each the number of
-    characters, at most cap, that it shares with the one before. At most about `most` queue entries are held in memory; the rest is
-    in files, which are gone when this returns."""
+def sorted_suffixes(text: np.ndarray, cap: int, most: int, emit: Callable[[np.ndarray, np.ndarray], None], folder: str | None = None) -> None:
+    """The suffixes of a string of small numbers in descending order of their first `cap` characters at least, emitted all of a first
+    character at a time, with the number of characters, at most cap, that each shares with the one emitted before. About `most` queue
+    entries are held in memory; the rest is in files, which are gone when this returns."""
     if folder is None:
         with tempfile.TemporaryDirectory(prefix="suffixes-") as made:
-            return suffix_array(text, cap, most, made)
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = text.astype(np.int64)
+            return sorted_suffixes(text, cap, most, emit, made)
+    if not len(text):
+        return None
     alphabet = int(text.max()) + 1
+    text = text.astype(np.uint16 if alphabet <= 1 << 16 else AT)
     s = s_types(text)
-    lms = np.flatnonzero(s & np.concatenate([[False], ~s[:-1]]))
+    lms = np.flatnonzero(s & np.concatenate([[False], ~s[:-1]])).astype(AT)
+    shared = np.zeros(len(lms), SHARED)
     if len(lms):
-        order = sorted_lms(text, alphabet, s, lms, cap, most, folder)
-        shared = np.concatenate([[0], common(text, order[:-1], order[1:], cap)])
-    else:
-        order, shared = lms, lms
-    return induce(text, alphabet, s, order, shared, cap, most, folder)
+        lms = sorted_lms(text, alphabet, s, lms, cap, most, folder)
+        shared[1:] = common(text, lms[:-1], lms[1:], cap)
+    return induce(text, alphabet, s, lms, shared, cap, most, folder, emit)
+
+
+def suffix_array(text: np.ndarray, cap: int, most: int = 1 << 24, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in ascending order, and what each shares with the one before."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, AT), np.zeros(0, SHARED))]
+    sorted_suffixes(text, cap, most, lambda at, after: parts.append((at, after)), folder)
+    order = np.concatenate([a for a, _ in parts])[::-1]
+    after = np.concatenate([b for _, b in parts])[::-1]  # with the next one; 0 at the end of a character
+    return order, np.concatenate([after[:0], np.zeros(min(1, len(after)), SHARED), after[:-1]])
 
 
 def sorted_lms(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray, cap: int, most: int, folder: str) -> np.ndarray:
     # the pieces from one LMS place to the next, sorted by induction from LMS places in the order of their first character
     start = lms[by_character(text[lms], alphabet)]
-    full, _ = induce(text, alphabet, s, start, np.zeros(len(start), np.int64), 0, most, folder)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    pieces = full[is_lms[full]]
-    where = np.empty(len(text), np.int64)
-    where[lms] = np.arange(len(lms))
+    found: list[np.ndarray] = []
+    induce(text, alphabet, s, start, np.zeros(len(start), SHARED), 0, most, folder, lambda at, _: found.append(at[is_lms[at]]))
+    pieces = np.concatenate(found)[::-1]
+    where = np.empty(len(text), AT)
+    where[lms] = np.arange(len(lms), dtype=AT)
     ends = np.concatenate([lms[1:], [len(text) - 1]]) + 1
     size = ends - lms
     k = where[pieces]
@@ -311,13 +315,13 @@ def sorted_lms(text: np.ndarray, alphabet: int, s: np.ndarray, lms: np.ndarray,
     # the last piece ends with the text and equals no other
     last = where[lms[-1]]
     same &= (k[1:] != last) & (k[:-1] != last)
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), AT)
     names[k] = np.cumsum(np.concatenate([[0], ~same]))
     distinct = int(names.max()) + 1
     if distinct == len(lms):
         return pieces
     # two characters at least lie between LMS places
     depth = cap // 2 + 2
-    if distinct <= SMALL_ALPHABET:
+    if len(names) > BASE:
         return lms[suffix_array(names, depth, most, folder)[0]]
     return lms[doubled(names, depth)]

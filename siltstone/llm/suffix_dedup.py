@@ -7,6 +7,7 @@ bytes, the one with the least hash. Equal strings have equal anchors, so
 1. anchors are dealt out by hash, and those that only one text has are dropped (packed arrays, about 12 bytes an anchor);
 2. the strings around each remaining anchor, which overlap and so make one context of about 70 bytes, go to the shard of the anchor;
    equal contexts are one, with their smallest doc_id;
+   an anchor with very many contexts, as at the edge of a passage that many texts have, is split by the bytes beside it;
 3. a shard sorts the suffixes of its contexts by induction (induced_sort), and runs of suffixes that share LENGTH bytes give each string its
    smallest doc_id;
 4. what a document loses is joined back to it.
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from ._common import drop, map_arrow, materialize, release, seal, slices, spread, tasks
-from .induced_sort import suffix_array
+from .induced_sort import sorted_suffixes
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of contexts that are sorted at once, as long as contexts of one anchor are not more; and queue entries held in memory.
-SHARD, HELD = 3 << 20, 1 << 22
+SHARD, HELD = 3 << 20, 1 << 18
 #: Bytes of text whose anchors are looked at in one group, in the mean.
-GROUP = 24 << 20
+GROUP = 6 << 20
+#: Anchors with more distinct contexts are split by the bytes beside them; and at most so many anchors are split.
+HOT, HOTTEST = 1024, 50_000
+#: Strings with so many successive places of their anchor stay together when it is split.
+STEP = 4
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -216,23 +221,65 @@ def contexts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "anchor long, doc_id long, start int, context binary")
 
 
+def split_contexts(found: DataFrame) -> DataFrame:
+    """The same strings under finer anchors: (anchor, doc_id, start, context) of contexts that have LENGTH - STEP + 1 bytes or more in
+    common. A string's place in its context is told by the first place of the anchor in it, so equal strings come to the same
+    finer anchor: a hash of the bytes that all strings with nearly that place have in common."""
+    span = LENGTH - ANCHOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(big, "context", 1 << 20):
+                data, offsets = text_arrays(batch, "context")
+                if not batch.num_rows:
+                    continue
+                anchor = batch.column(0).to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                h = rolling(data, ANCHOR)
+                hits = np.flatnonzero((h == anchor[owner[: len(h)]]) & (np.arange(len(h)) + ANCHOR <= offsets[owner[: len(h)] + 1]))
+                string = np.flatnonzero(np.arange(len(data)) + LENGTH <= offsets[owner + 1])
+                place = hits[np.searchsorted(hits, string)]
+                step = (place - string) // STEP
+                new = np.concatenate([[True], (place[1:] != place[:-1]) | (step[1:] != step[:-1]) | (owner[string[1:]] != owner[string[:-1]])])
+                first = np.flatnonzero(new)
+                begin, place, step, row = string[first], place[first], step[first], owner[string[first]]
+                size = np.diff(np.append(first, len(string))) + LENGTH - 1
+                # all strings of a step have the bytes from its least place before the anchor to the end of the one that begins first
+                low, high = place - step * STEP, place - np.minimum(step * STEP + STEP - 1, span) + LENGTH
+                key = h[low] * np.uint64(0x9E3779B97F4A7C15) ^ h[low + ANCHOR]
+                key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) ^ h[high - ANCHOR] ^ step.astype(np.uint64)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                flat = data[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+                part = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                start = batch.column(2).to_numpy()[row] + (begin - offsets[row])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(1).to_numpy()[row]), pa.array(start.astype(np.int32)), part], names=["anchor", "doc_id", "start", "context"])
+
+    return map_arrow(found, run, "anchor long, doc_id long, start int, context binary")
+
+
 def first_owners(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each string of each context, one after the other, its smallest owner over all contexts. By a suffix sort of all of them."""
     size, m = np.diff(offsets), len(owner)
     starts = offsets + np.arange(m + 1)
-    text = np.zeros(starts[-1], np.int64)  # 0, below every byte and in no string, ends each context
-    which = np.repeat(np.arange(m), size + 1)
-    place = np.arange(len(text)) - starts[which]
-    text[place < size[which]] = data.astype(np.int64) + 1
-    inside = place <= size[which] - length
-    order, shared = suffix_array(text, length, HELD)
-    run = np.cumsum(shared < length)
-    strings = inside[order]
-    order, run = order[strings], run[strings]
-    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    least = np.minimum.reduceat(owner[which[order]], heads)
+    which = np.repeat(np.arange(m, dtype=np.int32), size + 1)
+    text = np.zeros(starts[-1], np.uint16)  # 0, below every byte and in no string, ends each context
+    ends = np.zeros(len(text), bool)
+    ends[starts[1:] - 1] = True
+    text[~ends] = data.astype(np.uint16) + 1
+    inside = np.arange(len(text)) <= (starts[1:] - 1 - length)[which]
     out = np.empty(len(text), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
+
+    def resolve(at: np.ndarray, shared: np.ndarray) -> None:
+        """Strings of one first character: runs that share `length` bytes are one string."""
+        run = np.cumsum(shared < length)
+        strings = inside[at]
+        at, run = at[strings], run[strings]
+        if len(at):
+            heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            least = np.minimum.reduceat(owner[which[at]], heads)
+            out[at] = np.repeat(least, np.diff(np.append(heads, len(at))))
+
+    sorted_suffixes(text, length, HELD, resolve)
     return out[inside]
 
 
@@ -328,13 +375,21 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     drop(spark, starts_at)
     release(spark)
     # the contexts go before they are sorted: what the join needs of them is a third of their size
-    distinct = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner")).select("anchor", F.xxhash64("context").alias("mark"), "context", "owner")
-    distinct, distinct_at = materialize(distinct, "distinct")
-    marked, marked_at = materialize(found.select("anchor", F.xxhash64("context").alias("mark"), "doc_id", "start", F.length("context").alias("size")), "marked")
+    mark = F.xxhash64("context").alias("mark")
+    sorted_by = lambda df: df.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner")).select("anchor", mark, "context", "owner")
+    placed = lambda df: df.select("anchor", mark, "doc_id", "start", F.length("context").alias("size"))
+    distinct, distinct_at = materialize(sorted_by(found), "distinct")
+    # an anchor beside which very many texts go on in their own way: few of them, as each has a good share of all contexts
+    many = F.col("n") > max(HOT, -(-distinct.count() // HOTTEST))
+    hot, hot_at = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(many).select("anchor"), "hot")
+    finer, finer_at = materialize(split_contexts(found.join(F.broadcast(hot), "anchor", "left_semi")), "finer")
+    cool = lambda df: df.join(F.broadcast(hot), "anchor", "left_anti")
+    marked, marked_at = materialize(placed(cool(found)).unionAll(placed(finer)), "marked")
     drop(spark, found_at)
     release(spark)
+    distinct = cool(distinct).unionAll(sorted_by(finer))
     owners, owners_at = materialize(resolve(distinct.repartition(tasks(spark) * 2, "anchor").sortWithinPartitions("anchor")), "owners")
-    drop(spark, distinct_at)
+    drop(spark, distinct_at, hot_at, finer_at)
     release(spark)
     here = marked.join(owners.hint("merge"), ["anchor", "mark"])
     sole = F.size("owners") == 1

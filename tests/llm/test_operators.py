@@ -110,9 +110,9 @@ def brute_suffixes(t, cap):
     return [t[i : i + cap] for i in order], shared
 
 
-@pytest.mark.parametrize("held, small", [(4, 0), (1 << 20, 2048), (30, 2048)])
-def test_induced_sort(held, small, monkeypatch):
-    monkeypatch.setattr(induced_sort, "SMALL_ALPHABET", small)
+@pytest.mark.parametrize("held, base", [(4, 0), (1 << 20, 1 << 20), (30, 5)])
+def test_induced_sort(held, base, monkeypatch):
+    monkeypatch.setattr(induced_sort, "BASE", base)
     rng = np.random.default_rng(held)
     for _ in range(150):
         t = rng.integers(0, rng.choice([1, 2, 4, 200]), rng.integers(1, 70)).tolist()
@@ -160,6 +160,42 @@ def test_suffix_dedup_where_an_anchor_repeats(spark):
     assert got == want
 
 
+def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
+    """Passages that every text has, with its own bytes around them: their edges are split. Equal to brute force either way."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    passages = [word(70), word(52), "ab" * 40]
+    rows = [(k, word(int(rng.integers(0, 60))) + passages[k % 3][: int(rng.integers(48, 81))] + word(int(rng.integers(0, 60))) + passages[(k + 1) % 3]) for k in range(120)]
+    ran, real = [], suffix_dedup.split_contexts
+    monkeypatch.setattr(suffix_dedup, "split_contexts", lambda df: ran.append(df.count()) or real(df))
+    got = {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, brute.sha(bytes(r._left))) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.substrings(rows) and ran[0] > 100
+
+
+def test_suffix_sort_spills_and_recurs_at_production_size(monkeypatch):
+    """A shard of the production size puts queues on disk; one with more pieces than BASE sorts them by recursion."""
+    spilled, depth, spill, recur = [], [], induced_sort.BucketQueues.spill, induced_sort.sorted_suffixes
+    monkeypatch.setattr(induced_sort.BucketQueues, "spill", lambda self: spilled.append(self.held) or spill(self))
+    monkeypatch.setattr(induced_sort, "sorted_suffixes", lambda text, *x: depth.append(len(text)) or recur(text, *x))
+    rng = np.random.default_rng(1)
+    units = [rng.integers(97, 123, 70, dtype=np.uint8) for _ in range(300)]
+    for copies, deep in ((20, 0), (240, 1)):
+        data = np.concatenate([units[k] for k in rng.integers(0, 300, 300 * copies)] if deep else [rng.integers(97, 123, suffix_dedup.SHARD, dtype=np.uint8)])
+        data = data[: len(data) // 70 * 70]
+        m = len(data) // 70
+        owner = np.arange(m)[::-1].copy()
+        spilled.clear(), depth.clear()
+        least = suffix_dedup.first_owners(data, np.arange(m + 1) * 70, owner)
+        assert spilled and len(depth) >= deep
+        text = data.tobytes()
+        first: dict[bytes, int] = {}
+        for k in range(m):
+            x = text[70 * k : 70 * k + 50]
+            first[x] = min(first.get(x, m), int(owner[k]))
+        assert [first[text[70 * k : 70 * k + 50]] for k in range(m)] == least[::21].tolist()
+
+
 def check_packing(rows, ids):
     seen, used = Counter(), {}
     for r in rows:

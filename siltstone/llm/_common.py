@@ -64,6 +64,15 @@ def seal(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFram
     return sealed, open_
 
 
+def join_with_hot(left: DataFrame, right: DataFrame, key: str, rows: int, n: str, most: int = 50_000) -> DataFrame:
+    """The inner join of left with right's one row a key, where right's column n is the number of left's rows with the key, `rows` in all.
+    Frequent keys, of which there are at most `most`, meet by broadcast, so that no task has all rows of one; others by shuffle."""
+    hot = F.col(n) > max(1000, -(-rows // most))
+    few = F.broadcast(right.filter(hot))
+    others = left.join(few.select(key), key, "left_anti").join(right.filter(~hot).hint("merge"), key)
+    return left.join(few, key).unionByName(others)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more: its cleaner learns that from the collector of the
     driver, which by itself runs about every half hour, while the files would count against the disk for as long."""

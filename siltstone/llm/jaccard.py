@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, map_arrow, materialize, release, remember, slices, tasks
+from ._common import drop, join_with_hot, map_arrow, materialize, release, remember, slices, tasks
 from .components import components
 from .token_store import texts_of
 
@@ -216,10 +216,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     named = first.join(lowest.hint("merge"), "root").select("print", "class_id")
     links = checked.groupBy("print").agg(F.sum("links").alias("links"))
     of_node = nodes.join(links.hint("merge"), "print", "left").join(named.hint("merge"), "print", "left")
-    of_node = of_node.select("print", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    of_doc = members.join(of_node.hint("merge"), "print").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+    of_node = of_node.select("print", "copies", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    of_node, of_node_at = materialize(of_node, "of_node")
+    of_doc = join_with_hot(members, of_node, "print", members.count(), "copies").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
     of_doc, _ = materialize(of_doc.withColumnRenamed("doc_id", "doc"), "classes")
-    drop(spark, checked_at, classes_at, members_at, found_at)
+    drop(spark, checked_at, classes_at, members_at, found_at, of_node_at)
     result = docs.select("doc_id").join(of_doc.hint("merge"), F.col("doc_id") == F.col("doc"), "left")
     return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

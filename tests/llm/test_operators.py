@@ -437,6 +437,13 @@ def test_jaccard_of_thousands_of_near_copies(spark):
     assert got == {k: (0, 2999) for k in range(3000)} | {5000: (5000, 0)}
 
 
+def test_jaccard_of_many_exact_copies(spark):
+    """1,500 copies of one text meet their class by broadcast, the others by shuffle."""
+    rows = [(k, "the very same text of some words") for k in range(1500)] + [(2000 + k, f"one two three four five{k % 3}") for k in range(9)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (0, 1499) for k in range(1500)} | {2000 + k: (2000 + k % 3, 2) for k in range(9)}
+
+
 def test_jaccard_of_odd_rows(odd):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(odd).collect()}
     assert got[8] == (7, 1) and got[7] == (7, 1) and got[None] == (None, 0) and got[3] == (3, 0)

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.aggregate import ranked
-from ..operators.diff import STATUS_FIELDS, overlay
+from ..operators.diff import STATUS_FIELDS
 from ..schema import COLUMNS
-from ..store import Store
+from ..store import Conflict, Store
+
+#: How often a batch is merged anew when other writers come first.
+TRIES = 5
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """What a stream is known by for as long as it has its checkpoint folder: written there before its first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())["id"]
+    finally:
+        stream.close()
 
 
 def merge_into(stream: DataFrame, store: Store, name: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch of ENTRY rows over a table; of rows of one path in a batch the latest ctime wins."""
+    """Merge each micro-batch of ENTRY rows over a table; of rows of one path in a batch the latest ctime wins.
+
+    A batch becomes a delta, marked with the stream and the number of the batch in the same commit, so a batch that is repeated after a
+    failure is merged once, and other streams, or a stream with a new checkpoint, are told apart. A batch that loses against another
+    writer is tried again on the new state.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if any(v["description"] == f"batch {batch_id}" for v in store.versions(name)):
-            return  # the batch is in already: it is being repeated after a failure
-        last = ranked(batch, "path", [F.desc("ctime_ns"), F.desc("mtime_ns"), F.desc("hash")], 1)
-        store.write(name, overlay(store.read(name), last.select(*COLUMNS)), "stream", f"batch {batch_id}")
+        last = ranked(batch, "path", [F.desc("ctime_ns"), F.desc("mtime_ns"), F.desc("hash")], 1).select(*COLUMNS)
+        source = query_id(stream.sparkSession, checkpoint)
+        for attempt in range(TRIES):
+            try:
+                store.merge(name, last, "stream", f"batch {batch_id}", (source, batch_id))
+                return
+            except Conflict:
+                if attempt == TRIES - 1:
+                    raise
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

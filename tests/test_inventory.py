@@ -259,6 +259,43 @@ def test_store_versions(spark, tmp_path):
         store.pop("t")
 
 
+def test_store_survives_crashes_and_other_writers(spark, tmp_path, monkeypatch):
+    from siltstone.store import Conflict
+
+    store, other = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    store.write("t", rows(spark, {"path": "a"}))
+    # two writers that start from the same history
+    number, state = other._state("t")
+    store.write("t", rows(spark, {"path": "b"}))
+    with pytest.raises(Conflict):
+        other._add("t", number, state, [other._put("t", rows(spark, {"path": "c"}))], "write", "", None)
+    assert [r.path for r in other.read("t").collect()] == ["b"] and len(store.versions("t")) == 2
+    # a crash before the commit, or with a log file half written, changes nothing
+    monkeypatch.setattr(other, "_commit", lambda *x: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        other.write("t", rows(spark, {"path": "d"}))
+    (tmp_path / "t/_log/half.new").write_text('{"versions"')
+    assert [r.path for r in store.read("t").collect()] == ["b"]
+    assert len(store.orphans("t")) == 2 and store.sweep("t") and store.orphans("t") == []
+    assert [r.path for r in store.read("t").collect()] == ["b"]
+
+
+def test_store_deltas(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.write("t", rows(spark, *[{"path": f"p{k:03d}"} for k in range(200)]))
+    for k in range(12):
+        store.merge("t", rows(spark, {"path": "p007", "file_size": k}, {"path": f"q{k}"}), mark=("s", k))
+        assert store.merge("t", rows(spark, {"path": "p007", "file_size": 99}), mark=("s", k)) is None
+    assert len(store.versions("t")[-1]["parts"]) <= 9 and store.versions("t")[-1]["parts"][0] == store.versions("t")[0]["parts"][0]
+    assert store.read("t").count() == 212 and store.read("t").filter("path = 'p007'").first().file_size == 11
+    store.merge("t", rows(spark, *[{"path": f"r{k}"} for k in range(100)]))
+    assert len(store.versions("t")[-1]["parts"]) == 1 and store.read("t").count() == 312
+    store.pop("t")
+    assert store.read("t").count() == 212 and store.merge("t", rows(spark, {"path": "x"}), mark=("s", 11)) is None
+    store.clear("t")
+    assert store.read("t").count() == 212 and len(store.versions("t")) == 1
+
+
 # the binary layout
 
 
@@ -321,6 +358,25 @@ def test_streams(spark, sf, tmp_path):
     assert got == Counter([("a", "added"), ("b", "added"), ("a", "modified"), ("b", "deleted"), ("c", "added")])
 
 
+def test_streams_are_told_apart(spark, tmp_path):
+    """Two streams into one table, a new checkpoint, and a batch that is repeated after an undo."""
+    from siltstone.streaming import continuous
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    for k, name in enumerate("ab"):
+        rows(spark, {"path": name, "ctime_ns": k}).coalesce(1).write.parquet(str(tmp_path / name))
+        continuous.merge_into(spark.readStream.schema(ENTRY).parquet(str(tmp_path / name)), store, "t", str(tmp_path / f"c{name}")).awaitTermination()
+    assert sorted(r.path for r in store.read("t").collect()) == ["a", "b"]
+    store.pop("t")
+    # the stream of b forgets that its batch was committed, and repeats it
+    os.remove(tmp_path / "cb/commits/0")
+    os.remove(tmp_path / "cb/commits/.0.crc")
+    continuous.merge_into(spark.readStream.schema(ENTRY).parquet(str(tmp_path / "b")), store, "t", str(tmp_path / "cb")).awaitTermination()
+    assert [r.path for r in store.read("t").collect()] == ["a"]
+    continuous.merge_into(spark.readStream.schema(ENTRY).parquet(str(tmp_path / "b")), store, "t", str(tmp_path / "new")).awaitTermination()
+    assert sorted(r.path for r in store.read("t").collect()) == ["a", "b"]
+
+
 def test_entry_works_without_the_subpackage():
     import subprocess
     import sys

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ._common import drop, map_arrow, materialize, release, seal, slices, spread, tasks
+from ._common import drop, join_with_hot, map_arrow, materialize, release, seal, slices, spread, tasks
 from .induced_sort import sorted_suffixes
 
 LENGTH, ANCHOR = 50, 16
@@ -33,8 +33,10 @@ LENGTH, ANCHOR = 50, 16
 SHARD, HELD = 3 << 20, 1 << 18
 #: Bytes of text whose anchors are looked at in one group, in the mean.
 GROUP = 6 << 20
-#: Anchors with more distinct contexts are split by the bytes beside them; and at most so many anchors are split.
-HOT, HOTTEST = 1024, 50_000
+#: Anchors are split by the bytes beside them that have more than this share of all distinct contexts, or more of them than a shard holds.
+HOT = 1 / 400
+#: Up to so many split anchors are broadcast; beyond it, they are joined by shuffle.
+HOTTEST = 50_000
 #: Strings with so many successive places of their anchor stay together when it is split.
 STEP = 4
 
@@ -365,8 +367,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     base = docs.filter("doc_id is not null").select("doc_id", text.alias("text"))
     prints, _ = materialize(base.select("doc_id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("print"), F.octet_length("text").cast("long").alias("n")), "prints")
     total = prints.agg(F.sum("n")).first()[0] or 0
-    heads = prints.groupBy("print").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail").select("print", "head")
-    copies, _ = materialize(prints.filter(f"n >= {LENGTH}").join(heads.hint("merge"), "print").filter("doc_id > head").select("doc_id", "print").distinct(), "copies")
+    heads = prints.groupBy("print").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), F.count("*").alias("times")).filter("head < tail")
+    heads, heads_at = materialize(heads.select("print", "head", "times"), "heads")
+    long = prints.filter(f"n >= {LENGTH}").select("doc_id", "print")
+    copies, _ = materialize(join_with_hot(long, heads, "print", prints.count(), "times").filter("doc_id > head").select("doc_id", "print").distinct(), "copies")
+    drop(spark, heads_at)
     printed = base.withColumn("print", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     starts, starts_at = materialize(shared_anchors(printed, max(1, -(-total // GROUP))), "starts")
     release(spark)
@@ -379,11 +384,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     sorted_by = lambda df: df.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner")).select("anchor", mark, "context", "owner")
     placed = lambda df: df.select("anchor", mark, "doc_id", "start", F.length("context").alias("size"))
     distinct, distinct_at = materialize(sorted_by(found), "distinct")
-    # an anchor beside which very many texts go on in their own way: few of them, as each has a good share of all contexts
-    many = F.col("n") > max(HOT, -(-distinct.count() // HOTTEST))
-    hot, hot_at = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(many).select("anchor"), "hot")
-    finer, finer_at = materialize(split_contexts(found.join(F.broadcast(hot), "anchor", "left_semi")), "finer")
-    cool = lambda df: df.join(F.broadcast(hot), "anchor", "left_anti")
+    # an anchor beside which very many texts go on in their own way
+    most = min(SHARD // (2 * LENGTH - ANCHOR), max(1, int(distinct.count() * HOT)))
+    hot, hot_at = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOTTEST else hot.hint("merge")
+    finer, finer_at = materialize(split_contexts(found.join(hot, "anchor", "left_semi")), "finer")
+    cool = lambda df: df.join(hot, "anchor", "left_anti")
     marked, marked_at = materialize(placed(cool(found)).unionAll(placed(finer)), "marked")
     drop(spark, found_at)
     release(spark)

@@ -162,7 +162,7 @@ def test_suffix_dedup_where_an_anchor_repeats(spark):
 
 def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
     """Passages that every text has, with its own bytes around them: their edges are split. Equal to brute force either way."""
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1e-9)
     rng = np.random.default_rng(9)
     word = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
     passages = [word(70), word(52), "ab" * 40]

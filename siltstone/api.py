@@ -6,23 +6,46 @@ import datetime as dt
 import getpass
 import hashlib
 import json
+import logging
 import os
+import re
 import socket
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, IgnoreRules
-from .functions.literals import clean, prune_roots
+from .functions.literals import clean, human_size, prune_roots
 from .functions.scalars import under
-from .operators import aggregate, diff, edit, validate
+from .operators import aggregate, diff, edit, report, search, validate
 from .plans import find as find_plan
 from .schema import ENTRY, HASH_NAMES
-from .sources import walker
+from .sources import binary, walker
 from .store import Store
 
 FOLDER = ".siltstone"
+#: The signature of binary index files that this engine writes.
+SIGNATURE = b"SILT"
+log = logging.getLogger(__name__)
+
+
+def pid_of(name: str) -> int | None:
+    """The process number in the name of a scan or temporary file."""
+    found = re.match(r"(?:scan|tmp)-(\d+)", name)
+    return int(found[1]) if found else None
+
+
+def alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        pass
+    return True
 
 
 def find_root(start: str, folder: str = FOLDER) -> str:
@@ -55,6 +78,19 @@ class FileIndex:
     def scan(self, paths: list[str] | None = None) -> DataFrame:
         return walker.scan(self.spark, self.root, paths, self.hash_type, self.config.symlink_mode, self.rules.patterns, (self.folder,))
 
+    def hashed(self, df: DataFrame) -> DataFrame:
+        return walker.with_hashes(df, self.root, self.config.hash_workers, human_size(self.config.buffer))
+
+    @property
+    def repository_id(self) -> str:
+        """32 hex digits that this index has from its first day."""
+        path = os.path.join(self.home, "id")
+        if not os.path.exists(path):
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(hashlib.sha256(str(time.time_ns()).encode()).hexdigest()[:32])
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+
     def working(self) -> DataFrame:
         """main with the cache over it."""
         main = self.store.read("main").withColumn("context", F.lit("main"))
@@ -65,7 +101,7 @@ class FileIndex:
         plan = diff.scan_diff(self.scan(paths), index).persist()
         known = plan.filter(~F.col("needs_hash") & ~F.lit(rehash) | F.col("is_deleted"))
         fresh = plan.filter((F.col("needs_hash") | F.lit(rehash)) & ~F.col("is_deleted"))
-        return known.drop("needs_hash").unionByName(walker.with_hashes(fresh.drop("needs_hash"), self.root))
+        return known.drop("needs_hash").unionByName(self.hashed(fresh.drop("needs_hash")))
 
     def _in(self, df: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
         here = F.lit(False)
@@ -103,28 +139,91 @@ class FileIndex:
         self.spark.catalog.clearCache()
         return self.working()
 
-    def status(self, verbose: bool = False) -> DataFrame:
-        """(path, status) of main against the disk."""
-        return diff.status(self.store.read("main"), self.refresh())
+    def status(self) -> DataFrame:
+        """(path, status) of main against the disk, in path order."""
+        return diff.status(self.store.read("main"), self.refresh()).orderBy("path")
 
-    def duplicates(self) -> DataFrame:
-        return aggregate.duplicates(self.refresh())
+    def status_report(self, verbose: int | None = None) -> dict:
+        """How many paths of each status; with a verbose level above 0 (the configured one, if none is given) also whether each table is
+        clean, that is, has no remains of unfinished writes, and what lies around."""
+        counts = diff.status_counts(self.status()).first().asDict()
+        if not (self.config.verbose_level if verbose is None else verbose):
+            return counts
+        left = {n: self.store.orphans(n) for n in self.store.names()}
+        return counts | {"clean": {n: not x for n, x in left.items()}, "temporary": sorted(f"{n}/{x}" for n, xs in left.items() for x in xs) + self.temporary()}
+
+    def temporary(self) -> list[str]:
+        """Scan and temporary index files in the index folder."""
+        return sorted(f for f in os.listdir(self.home) if f.startswith(("scan-", "tmp-")))
 
-    def format_duplicates(self) -> str:
-        """The groups as people read them: a path a line, an empty line between groups."""
-        rows = aggregate.duplicates(self.refresh()).orderBy("hash").toLocalIterator()
-        return "\n\n".join("\n".join(r["files"]) for r in rows)
+    def orphans(self) -> list[str]:
+        """Of temporary() those whose process, named by the first number in the name, is no more."""
+        return [f for f in self.temporary() if (pid := pid_of(f)) is not None and not alive(pid)]
+
+    def duplicates(self) -> DataFrame:
+        return aggregate.duplicates(self.refresh()).orderBy("hash")
+
+    def format_duplicates(self, form: str = "fdupes") -> str:
+        """The groups as people read them: with fdupes a path a line and an empty line between groups; human has headings; json an object a
+        line."""
+        groups = self.duplicates()
+        if form == "json":
+            return "\n".join(r["json"] for r in report.duplicates_json(groups).toLocalIterator())
+        return ("" if form == "human" else "\n").join(r["text"] + "\n" * (form == "human") for r in report.duplicates_text(groups, form).toLocalIterator()).rstrip("\n")
+
+    def length(self) -> int:
+        """Rows of main, deleted ones included."""
+        return self.store.read("main").count()
+
+    def lookup(self, path: str) -> dict | None:
+        """The row of one path in the working state, with the index it comes from as its context."""
+        found = diff.lookup(self.working(), clean(path)).first()
+        return found.asDict() if found else None
+
+    def visit(self, name: str, callback: Callable[[Row], bool]) -> int:
+        """Call back with each row of an index, by name or path of an index file, in path order, until it returns False."""
+        rows = self.load(name) if "/" in name else self.store.read(name.removesuffix(".idx"))
+        kind = find_plan.index_type(name)
+        return search.visit(rows.withColumn("index_type", F.lit(kind)), callback)
+
+    def load(self, path: str) -> DataFrame:
+        """The rows of a binary index file."""
+        full = os.path.abspath(path)
+        if not os.path.isfile(full):
+            raise find_plan.FindError(f"no index file: {path}")
+        return binary.read_index(self.spark, f"file://{full}", context=find_plan.index_type(path))
+
+    def export(self, name: str, path: str, signature: bytes = SIGNATURE) -> None:
+        """Write a table as a binary index file."""
+        binary.write_index(self.store.read(name), path, signature)
 
     def stats(self) -> tuple[int, int]:
         r = aggregate.stats(self.store.read("main")).first()
         return r["n_files"], r["total_size"]
 
-    def find(self, tokens: list[str], now_ns: int | None = None) -> list[DataFrame]:
+    def find(self, tokens: list[str], now_ns: int | None = None, accepted: list[tuple[str, str]] | None = None, dry_run: bool = False) -> list[DataFrame]:
+        """A frame for each action. --fix writes what it changes as a new version of the tables it starts from (not with dry_run); with
+        `manual` it applies the accepted issues, as (path, type) of issues(). With --warn, rows whose test cannot be decided are logged."""
+        now = now_ns if now_ns is not None else time.time_ns()
+        query = find_plan.parse(tokens, now)
         indices = {n: self.store.read(n) for n in self.store.names()}
-        disk = None
-        if {"--missing", "--checksum", "--fix"} & set(tokens):
-            disk = walker.with_hashes(self.scan(), self.root)
-        return find_plan.find(indices, tokens, now_ns if now_ns is not None else time.time_ns(), disk)
+        disk = self.hashed(self.scan()) if {"--missing", "--checksum", "--fix"} & set(tokens) else None
+        chosen = self.spark.createDataFrame(accepted, "path string, type string") if accepted else None
+        if query.options.get("warn") == "True":
+            for r in find_plan.undecided(find_plan.selected(indices, query, disk, self.load), query).limit(100).collect():
+                log.warning("%s in %s: the test cannot be decided", r["path"], r["index_type"])
+        out = find_plan.find(indices, tokens, now, disk, self.load, chosen, self.hash_type)
+        for (action, mode), frame in zip(query.actions, out):
+            if action == "fix" and mode != "none" and not dry_run:
+                for name in [r["index_type"] for r in frame.select("index_type").distinct().collect()]:
+                    if name in indices:
+                        fixed = frame.filter(F.col("index_type") == name).select(*ENTRY.fieldNames())
+                        self.store.write(name, diff.overlay(indices[name], fixed), f"fix {mode}")
+        return out
+
+    def issues(self, name: str = "main") -> DataFrame:
+        """(path, type): what --fix auto would change in a table."""
+        return validate.fix_plan(self.store.read(name), self.scan(), validate.repairs(self.hash_type)).orderBy("path", "type")
 
     # row edits; each is a version that undo() takes back
     def edit(self, changes: dict[str, str], paths: list[str], name: str = "main", dry_run: bool = False) -> DataFrame:
@@ -147,9 +246,28 @@ class FileIndex:
             self.store.write(name, rows, what)
         return rows
 
+    def show(self, paths: list[str], name: str = "main") -> tuple[DataFrame, DataFrame]:
+        """The rows with these paths, and the paths that have none."""
+        rows, keys = self.store.read(name), edit.keys_of(paths)
+        return diff.select_keys(rows, keys).orderBy("path"), diff.missing_keys(rows, keys)
+
+    def resort(self, name: str = "main") -> None:
+        """Write a table anew, in path order."""
+        self.store.write(name, edit.resort(self.store.read(name)), "resort")
+
+    # the versions of a table, newest first
+    def fixes(self, name: str = "main") -> list[dict]:
+        return self.store.versions(name)[::-1]
+
     def undo(self, name: str = "main") -> dict:
         return self.store.pop(name)
 
+    def discard(self, version: str, name: str = "main") -> None:
+        self.store.discard(name, version)
+
+    def clear(self, name: str = "main") -> None:
+        self.store.clear(name)
+
     # snapshots
     def snapshot(self, tags: list[str] | None = None, time_ns: int | None = None) -> dict:
         """Copy the current tables under an id made of the time."""
@@ -162,22 +280,32 @@ class FileIndex:
         for name in self.store.names():
             rows = self.store.read(name)
             to.write(name, rows, "snapshot")
-            files[name] = aggregate.tree_hash(rows.select(F.col("path").alias("name"), "hash")).first()["tree"]
+            files[name] = aggregate.table_hash(rows).first()["tree"]
             whole = rows if whole is None else whole.unionByName(rows)
         line = "\n".join(sorted(f"{n}:{h}" for n, h in files.items()))
-        meta = {"id": made, "time_ns": ns, "hostname": socket.gethostname(), "username": getpass.getuser(), "tags": tags or [], "files": files}
+        meta = {"id": made, "repository": self.repository_id, "time_ns": ns, "hostname": socket.gethostname(), "username": getpass.getuser(), "tags": tags or [], "files": files}
         meta |= {"tree": hashlib.sha256(line.encode()).hexdigest(), "summary": aggregate.summary(whole).first().asDict()}
         with open(os.path.join(home, "metadata"), "w", encoding="utf-8") as f:
             json.dump(meta, f)
+        self.tag(made, tags or [])
         return meta
 
+    def tag(self, snapshot_id: str, tags: list[str]) -> None:
+        """Give a snapshot these tags: a file of its own, which counts where it and the metadata differ."""
+        with open(os.path.join(self.home, "snapshots", os.path.basename(snapshot_id), "tags"), "w", encoding="utf-8") as f:
+            f.write("".join(f"{t}\n" for t in tags))
+
     def snapshots(self) -> list[dict]:
         """Newest first; what cannot be read is left out."""
         top, out = os.path.join(self.home, "snapshots"), []
         for name in os.listdir(top) if os.path.isdir(top) else []:
             try:
                 with open(os.path.join(top, name, "metadata"), encoding="utf-8") as f:
-                    out.append(json.load(f))
+                    meta = json.load(f)
+                if os.path.exists(tags := os.path.join(top, name, "tags")):
+                    with open(tags, encoding="utf-8") as f:
+                        meta["tags"] = [x.strip() for x in f if x.strip()]
+                out.append(meta)
             except (OSError, ValueError):
                 continue
         return sorted(out, key=lambda m: m["time_ns"], reverse=True)
@@ -201,18 +329,50 @@ class FileIndex:
         return diff.status(new, old) if backward else diff.status(old, new)
 
     # recovery
-    def recover(self, now_ns: int | None = None, fix: str = "auto") -> DataFrame:
-        """Rebuild main from all tables: entries that pass the rules, later tables over earlier ones, repaired and compared with the disk.
-        The tables are kept as a snapshot first."""
+    def recover(self, now_ns: int | None = None, fix: str = "auto", how: str = "auto") -> DataFrame:
+        """Rebuild main, and return it. The tables are kept as a snapshot first.
+
+        `state` takes all tables, later ones over earlier ones; `scan` the newest scan table; the name of a table that alone. Entries that
+        pass the rules are repaired by the files on disk and compared with them. `auto` tries state, the cache, the newest scan and
+        main in turn, and fails if all of them do."""
         self.snapshot(["recovery"])
-        now, whole = now_ns if now_ns is not None else time.time_ns(), None
-        for name in [n for n in ("main", "cache") if n in self.store.names()] + [n for n in self.store.names() if n.startswith("scan")]:
+        now, failed = now_ns if now_ns is not None else time.time_ns(), []
+        for way in ("state", "cache", "scan", "main") if how == "auto" else (how,):
+            try:
+                return self._recover(self._sources(way), now, fix)
+            except (OSError, ValueError, PySparkException) as e:
+                log.info("recovery from %s failed: %s", way, e)
+                failed.append(f"{way}: {e}")
+        raise ValueError("recovery failed: " + "; ".join(failed))
+
+    def _sources(self, way: str) -> list[str]:
+        names = self.store.names()
+        if way == "state":
+            found = [n for n in ("main", "cache") if n in names] + [n for n in names if n.startswith("scan-")]
+        elif way == "scan":
+            found = [self.newest_scan()] if self.newest_scan() else []
+        else:
+            found = [way] if way in names else []
+        if not found:
+            raise ValueError(f"there is no {way}")
+        return found
+
+    def newest_scan(self) -> str | None:
+        """The scan table that was written last."""
+        rows = [(n, self.store.versions(n)[-1]["time"]) for n in self.store.names()]
+        found = aggregate.newest_scan(self.spark.createDataFrame(rows, "name string, time long")).first()
+        return found["name"] if found else None
+
+    def _recover(self, names: list[str], now: int, fix: str) -> DataFrame:
+        whole = None
+        for name in names:
             good = validate.check(self.store.read(name), "recovery", now, auto_fix=True).drop("error")
             whole = good if whole is None else diff.overlay(whole, good)
         disk = self.scan().persist()
+        self.recovered = validate.fix_counts(whole, disk, now, self.hash_type).first().asDict()
         fixed = validate.fix(whole, disk, fix, hash_type=self.hash_type) if fix != "none" else whole
         lenient = validate.check(fixed, "lenient", now).drop("error")
-        self.store.write("main", diff.writable(self._compare(lenient).withColumn("context", F.lit("main")), "main"), "recover")
+        self.store.write("main", diff.writable(self._compare(lenient).withColumn("context", F.lit("main")), "main"), "recover", ", ".join(names))
         self.store.drop("cache")
         self.spark.catalog.clearCache()
         return self.store.read("main")

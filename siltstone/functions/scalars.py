@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import HASH_NAMES, HASH_SIZES, MAX_FILE_SIZE, SECOND
+from ..schema import HASH_NAMES, HASH_SIZES, MAX_FILE_SIZE, SECOND, SETGID, SETUID, STICKY
 
 #: Seconds that the packed wall time adds to Unix time: a fixed value of the binary format.
 WALL_OFFSET = 2_682_374_400
@@ -45,6 +45,24 @@ def wall_decode(wall: Column) -> Column:
     return (F.shiftrightunsigned(wall, 30) - WALL_OFFSET) * SECOND + wall.bitwiseAND(F.lit((1 << 30) - 1))
 
 
+def iso_time(ns: Column) -> Column:
+    seconds = F.call_function("div", ns - F.pmod(ns, F.lit(SECOND)), F.lit(SECOND))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(ns, F.lit(SECOND)).cast("string"), 9, "0"), F.lit("Z"))
+
+
+def posix_mode(mode: Column) -> Column:
+    """Permission bits with setuid, setgid and sticky where POSIX has them."""
+    special = reduce(lambda a, b: a.bitwiseOR(b), (F.when(mode.bitwiseAND(F.lit(bit)) != 0, F.lit(to)).otherwise(F.lit(0)) for bit, to in ((SETUID, 0o4000), (SETGID, 0o2000), (STICKY, 0o1000))))
+    return mode.bitwiseAND(F.lit(0o777)).bitwiseOR(special.cast("long"))
+
+
+def snapshot_id(ns: Column) -> Column:
+    """The id of a snapshot taken at this time: 20230615T120000.000000000Z."""
+    part = F.pmod(ns, F.lit(SECOND))
+    seconds = F.call_function("div", ns - part, F.lit(SECOND))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyyMMdd'T'HHmmss"), F.lit("."), F.lpad(part.cast("string"), 9, "0"), F.lit("Z"))
+
+
 def human_size(size: Column) -> Column:
     """1.5 MB: base 1024, one decimal; whole bytes below 1024."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))

@@ -25,8 +25,13 @@ def wasted_bytes(entries: DataFrame) -> DataFrame:
     return live.groupBy("hash").agg(F.count("*").alias("count"), F.max("file_size").alias("size")).filter("count > 1").select("hash", "count", ((F.col("count") - 1) * F.col("size")).alias("wasted"))
 
 
+def total(column: str) -> Column:
+    """The sum of a column: 0 of no rows, null beyond 64 bits, as damaged sizes may be."""
+    return F.when(F.count(column) == 0, F.lit(0).cast("long")).otherwise(F.try_sum(column))
+
+
 def stats(entries: DataFrame) -> DataFrame:
-    return entries.filter("not is_deleted").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
+    return entries.filter("not is_deleted").agg(F.count("*").alias("n_files"), total("file_size").alias("total_size"))
 
 
 def counts(entries: DataFrame) -> DataFrame:
@@ -39,11 +44,25 @@ def tree_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree"))
 
 
+def table_hash(entries: DataFrame, digits: int = 4) -> DataFrame:
+    """One row, tree: a hash of all path:hash pairs of a table of any size. Rows are dealt out by the first digits of their path's hash,
+    each of those groups gets a tree_hash of its own, and those make one of their own."""
+    group = F.substring(F.sha2("path", 256), 1, digits)
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash")))
+    groups = entries.groupBy(group.alias("name")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
+    return tree_hash(groups)
+
+
+def first_last(entries: DataFrame) -> DataFrame:
+    """One row, first and last: the ends of the path order."""
+    return entries.agg(F.min("path").alias("first"), F.max("path").alias("last"))
+
+
 def summary(entries: DataFrame) -> DataFrame:
     """Files, bytes, and rows of each index of a snapshot: one row."""
     of = lambda c: F.count_if(F.col("context") == c)
     return entries.agg(
-        F.count("*").alias("files_count"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"), of("main").alias("main_entries"), of("cache").alias("cache_entries"), of("scan").alias("scan_entries")
+        F.count("*").alias("files_count"), total("file_size").alias("total_size"), of("main").alias("main_entries"), of("cache").alias("cache_entries"), of("scan").alias("scan_entries")
     )
 
 
@@ -78,6 +97,11 @@ def forgotten(snapshots: DataFrame, policy: dict[str, int]) -> DataFrame:
     return snapshots.join(retention(snapshots, policy).select("id"), "id", "left_anti")
 
 
+def newest_scan(scans: DataFrame) -> DataFrame:
+    """The newest of the scan indices among (name, time), ties by name: one row, or none."""
+    return scans.filter(F.col("name").rlike("^scan-")).orderBy(F.desc("time"), F.desc("name")).limit(1)
+
+
 def latest(snapshots: DataFrame, n: int = 1) -> DataFrame:
     return snapshots.orderBy(F.desc("time"), F.desc("id")).limit(n)
 

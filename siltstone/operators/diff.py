@@ -48,6 +48,11 @@ def status_counts(changes: DataFrame) -> DataFrame:
     )
 
 
+def status_rows(changes: DataFrame) -> DataFrame:
+    """(status, path) of what is not unchanged, a row a path: for changes of any number."""
+    return changes.filter("status <> 'unchanged'").select("status", "path")
+
+
 def status_lists(changes: DataFrame) -> DataFrame:
     """One row a status but unchanged, with its paths in order: a report for people, as large as the changes."""
     return changes.filter("status <> 'unchanged'").groupBy("status").agg(F.array_sort(F.collect_list("path")).alias("paths"))
@@ -95,6 +100,11 @@ def writable(df: DataFrame, kind: str, context: str | None = None) -> DataFrame:
     return df.filter(has_hash if not context else has_hash & (F.col("context") != "main"))
 
 
+def lookup(df: DataFrame, path: str) -> DataFrame:
+    """The row of one path, or none: a filter that the scan skips files and row groups by."""
+    return df.filter(F.col("path") == path)
+
+
 def select_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(F.col("path").isin(keys))
 

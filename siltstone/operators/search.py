@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.literals import glob_regex
@@ -21,3 +23,29 @@ def search(entries: DataFrame, name: str | None = None, prefix: str | None = Non
     if size is not None:
         out = out.filter(F.col("file_size") == size)
     return out
+
+
+#: A filter of a user: a column, or what makes one of the rows, as a pandas UDF does.
+Filter = Column | Callable[[DataFrame], Column]
+
+
+def compose(entries: DataFrame, *filters: Filter) -> DataFrame:
+    """The rows for which all filters hold, in the order given; where one is null it does not hold."""
+    out = entries
+    for f in filters:
+        out = out.filter(F.coalesce(f if isinstance(f, Column) else f(out), F.lit(False)))
+    return out
+
+
+def visit(entries: DataFrame, callback: Callable[[Row], bool]) -> int:
+    """Call back with each row in path order until it returns False; how many rows it has seen. Rows come a partition at a time."""
+    seen = 0
+    for row in entries.orderBy("path").toLocalIterator():
+        seen += 1
+        if callback(row) is False:
+            break
+    return seen
+
+
+def rows_of(entries: DataFrame) -> Iterator[Row]:
+    return entries.orderBy("path").toLocalIterator()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,43 +41,66 @@ def check(entries: DataFrame, mode: str, now_ns: int, auto_fix: bool = False) ->
     return out
 
 
-def fix_plan(entries: DataFrame, disk: DataFrame) -> DataFrame:
-    """(path, type): what the repair rules would change, given the files on disk (ENTRY)."""
-    both = entries.alias("e").join(disk.alias("d"), F.col("e.path") == F.col("d.path"), "left")
+@dataclass(frozen=True)
+class Repair:
+    """A rule of repair: its name, which rows need it, and the new values of their columns. Columns are told apart as e (the row) and d
+    (the file on disk, null where there is none)."""
+
+    name: str
+    needed: Column
+    updates: dict[str, Column]
+
+
+def repairs(hash_type: int = 2) -> list[Repair]:
     here = F.col("d.path").isNotNull()
     apart = lambda f: ~F.col(f"e.{f}").eqNullSafe(F.col(f"d.{f}"))
-    issues = [
-        (~F.col("e.hash_type").between(1, 3), "hash_type"),
-        (~here & ~F.col("e.is_deleted"), "missing_file"),
-        (here & apart("file_size"), "file_size"),
-        (here & apart("mode"), "file_mode"),
-        (here & (F.abs(F.col("e.mtime_ns") - F.col("d.mtime_ns")) > SECOND), "mtime"),
-        (here & (apart("uid") | apart("gid")), "ownership"),
+    disk = lambda *fs: {f: F.col(f"d.{f}") for f in fs}
+    return [
+        Repair("hash_type", ~F.col("e.hash_type").between(1, 3), {"hash_type": F.lit(hash_type).cast("long")}),
+        Repair("missing_file", ~here & ~F.col("e.is_deleted"), {"is_deleted": F.lit(True)}),
+        Repair("file_size", here & apart("file_size"), disk("file_size")),
+        Repair("file_mode", here & apart("mode"), disk("mode")),
+        Repair("mtime", here & (F.abs(F.col("e.mtime_ns") - F.col("d.mtime_ns")) > SECOND), disk("mtime_ns", "ctime_ns")),
+        Repair("ownership", here & (apart("uid") | apart("gid")), disk("uid", "gid")),
     ]
-    kinds = F.filter(F.array(*[F.when(test, name) for test, name in issues]), lambda x: x.isNotNull())
+
+
+def fix_plan(entries: DataFrame, disk: DataFrame, rules: list[Repair] | None = None) -> DataFrame:
+    """(path, type): what the repair rules would change, given the files on disk (ENTRY)."""
+    both = entries.alias("e").join(disk.alias("d"), F.col("e.path") == F.col("d.path"), "left")
+    kinds = F.filter(F.array(*[F.when(r.needed, r.name) for r in rules or repairs()]), lambda x: x.isNotNull())
     return both.select(F.col("e.path").alias("path"), F.explode(kinds).alias("type"))
 
 
-def fix(entries: DataFrame, disk: DataFrame, mode: str = "auto", accepted: DataFrame | None = None, hash_type: int = 2) -> DataFrame:
-    """entries after repair. auto applies every issue of fix_plan(), manual those in accepted (path, type), none nothing. Hashes are never
-    recomputed."""
-    if mode == "none":
+def fix(entries: DataFrame, disk: DataFrame, mode: str = "auto", accepted: DataFrame | None = None, hash_type: int = 2, rules: list[Repair] | None = None) -> DataFrame:
+    """entries after repair. auto applies every issue of fix_plan(), manual those in accepted (path, type; none: no issue), none nothing.
+    Rules default to repairs(); users may add their own. Hashes are never recomputed."""
+    if mode not in ("auto", "manual", "none"):
+        raise ValueError(f"not a fix mode: {mode!r}")
+    if mode == "none" or mode == "manual" and accepted is None:
         return entries
-    plan = fix_plan(entries, disk)
+    rules = rules or repairs(hash_type)
+    joined = entries.alias("e").join(disk.alias("d"), F.col("e.path") == F.col("d.path"), "left")
+    wanted = lambda r: F.coalesce(r.needed, F.lit(False))
     if mode == "manual":
-        plan = plan.join(accepted, ["path", "type"], "left_semi")
-    todo = plan.groupBy("path").agg(F.collect_set("type").alias("types"))
-    joined = entries.alias("e").join(todo.alias("t"), "path", "left").join(disk.alias("d"), "path", "left")
-    has = lambda t: F.coalesce(F.array_contains("t.types", t), F.lit(False))
-    take = lambda f, t: F.when(has(t), F.col(f"d.{f}")).otherwise(F.col(f"e.{f}")).alias(f)
-    changed = {
-        "file_size": take("file_size", "file_size"),
-        "mode": take("mode", "file_mode"),
-        "mtime_ns": take("mtime_ns", "mtime"),
-        "ctime_ns": take("ctime_ns", "mtime"),
-        "uid": take("uid", "ownership"),
-        "gid": take("gid", "ownership"),
-        "is_deleted": (F.col("e.is_deleted") | has("missing_file")).alias("is_deleted"),
-        "hash_type": F.when(has("hash_type"), hash_type).otherwise(F.col("e.hash_type")).cast("long").alias("hash_type"),
-    }
-    return joined.select(*[changed.get(c, F.col("path") if c == "path" else F.col(f"e.{c}")) for c in entries.columns])
+        todo = accepted.groupBy("path").agg(F.collect_set("type").alias("types"))
+        joined = joined.join(todo.alias("t"), F.col("e.path") == F.col("t.path"), "left")
+        wanted = lambda r: F.coalesce(r.needed & F.array_contains("t.types", r.name), F.lit(False))
+
+    def value(c: str) -> Column:
+        out = F.col(f"e.{c}")
+        for r in rules:
+            if c in r.updates:
+                out = F.when(wanted(r), r.updates[c]).otherwise(out)
+        return out.alias(c)
+
+    return joined.select(*[value(c) for c in entries.columns])
+
+
+def fix_counts(entries: DataFrame, disk: DataFrame, now_ns: int, hash_type: int = 2) -> DataFrame:
+    """One row: how many entries are valid as they are, fixed (valid after repair, and changed by it), and discarded (still not valid)."""
+    plan = fix_plan(entries, disk, repairs(hash_type)).select("path").distinct().withColumn("todo", F.lit(True))
+    fixed = fix(entries, disk, "auto", hash_type=hash_type)
+    judged = fixed.withColumn("error", error(now_ns)).join(plan, "path", "left")
+    ok, todo = F.col("error").isNull(), F.coalesce("todo", F.lit(False))
+    return judged.agg(F.count_if(ok & ~todo).alias("valid"), F.count_if(ok & todo).alias("fixed"), F.count_if(~ok).alias("discarded"))

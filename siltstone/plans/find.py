@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import literals
-from ..functions.scalars import basename, corruption, dirname, hash_name, valid
-from ..schema import CHAR_DEVICE, DEVICE, DIR, LINK, NAMED_PIPE, SECOND, SETGID, SETUID, SOCKET, STICKY
+from ..functions.scalars import basename, corruption, dirname, hash_name, iso_time, posix_mode, valid
+from ..schema import CHAR_DEVICE, DEVICE, DIR, LINK, NAMED_PIPE, SECOND, SOCKET
 
 #: A type letter and the mode bits that mean it; a regular file has none of them.
 TYPE_BITS = {"d": DIR, "l": LINK, "p": NAMED_PIPE, "s": SOCKET, "b": DEVICE, "c": DEVICE | CHAR_DEVICE}
@@ -26,6 +26,11 @@ ALL_TYPES = DIR | LINK | NAMED_PIPE | SOCKET | DEVICE | CHAR_DEVICE
 FIX_MODES = ("auto", "manual", "none")
 
 
+#: Tests and actions that users have added: an argument becomes a boolean column, and matching rows become a frame.
+MORE_TESTS: dict[str, Callable[[str], Column]] = {}
+MORE_ACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
 class FindError(ValueError):
     """The expression cannot be understood."""
 
@@ -34,12 +39,6 @@ def compare(c: Column, op: str, n: int) -> Column:
     return {"=": c == n, ">": c > n, "<": c < n}[op]
 
 
-def posix_mode(mode: Column) -> Column:
-    """Permission bits with setuid, setgid and sticky where POSIX has them."""
-    special = reduce(lambda a, b: a.bitwiseOR(b), (F.when(mode.bitwiseAND(F.lit(bit)) != 0, F.lit(to)).otherwise(F.lit(0)) for bit, to in ((SETUID, 0o4000), (SETGID, 0o2000), (STICKY, 0o1000))))
-    return mode.bitwiseAND(F.lit(0o777)).bitwiseOR(special.cast("long"))
-
-
 def type_test(letter: str) -> Column:
     bits = F.col("mode").bitwiseAND(F.lit(ALL_TYPES))
     if letter == "f":
@@ -196,6 +195,10 @@ class Parser:
             self.query.actions.append((token[2:], value))
         elif token in ("--maxdepth", "--mindepth", "--repo"):
             self.query.options[token[2:]] = self.argument(token)
+        elif token in MORE_TESTS:
+            return MORE_TESTS[token](self.argument(token))
+        elif token in MORE_ACTIONS:
+            self.query.actions.append((token[2:], None))
         elif token in ("--warn", "--nowarn"):
             self.query.options["warn"] = str(token == "--warn")
         else:
@@ -207,20 +210,26 @@ def parse(tokens: list[str], now_ns: int) -> Query:
     return Parser(tokens, now_ns).parse()
 
 
-def matching(entries: DataFrame, query: Query) -> DataFrame:
-    """Rows for which the condition holds; where it is null it does not."""
+def in_depth(entries: DataFrame, query: Query) -> DataFrame:
     out = entries
     depth = F.size(F.split("path", "/"))
     if "maxdepth" in query.options:
         out = out.filter(depth <= literals.integer(query.options["maxdepth"], 31))
     if "mindepth" in query.options:
         out = out.filter(depth >= literals.integer(query.options["mindepth"], 31))
+    return out
+
+
+def matching(entries: DataFrame, query: Query) -> DataFrame:
+    """Rows for which the condition holds; where it is null it does not."""
+    out = in_depth(entries, query)
     return out if query.condition is None else out.filter(F.coalesce(query.condition, F.lit(False)))
 
 
-def iso_time(ns: Column) -> Column:
-    seconds = F.call_function("div", ns - F.pmod(ns, F.lit(SECOND)), F.lit(SECOND))
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(ns, F.lit(SECOND)).cast("string"), 9, "0"), F.lit("Z"))
+def undecided(entries: DataFrame, query: Query) -> DataFrame:
+    """(path, index_type) of the rows for which the condition is null, as where a field is missing: what --warn reports."""
+    out = in_depth(entries, query)
+    return (out.limit(0) if query.condition is None else out.filter(query.condition.isNull())).select("path", "index_type")
 
 
 def permissions(mode: Column) -> Column:
@@ -273,8 +282,11 @@ def listing() -> Column:
     return F.concat_ws(" ", *parts, F.concat(F.lit("["), F.col("index_type"), F.lit("]")), F.col("path"))
 
 
-def act(rows: DataFrame, action: str, value: str | None = None, disk: DataFrame | None = None) -> DataFrame:
-    """The rows of an action. checksum and fix need the files on disk as ENTRY, with fresh hashes."""
+def act(rows: DataFrame, action: str, value: str | None = None, disk: DataFrame | None = None, accepted: DataFrame | None = None, hash_type: int = 2) -> DataFrame:
+    """The rows of an action. checksum and fix need the files on disk as ENTRY, with fresh hashes; fix manual takes what is accepted of
+    validate.fix_plan() as (path, type)."""
+    if f"--{action}" in MORE_ACTIONS:
+        return MORE_ACTIONS[f"--{action}"](rows)
     if action == "print":
         return rows.select(F.col("path").alias("line"))
     if action == "print0":
@@ -293,30 +305,49 @@ def act(rows: DataFrame, action: str, value: str | None = None, disk: DataFrame
         return rows.join(fresh, "path", "left").select("path", same.alias("checksum"))
     from ..operators.validate import fix
 
-    return fix(rows, disk, value)
+    return fix(rows, disk, value, accepted, hash_type)
+
+
+def index_type(path: str) -> str:
+    """main, cache, or scan by the name of an index file; file for others."""
+    bare = path.rsplit("/", 1)[-1].removesuffix(".idx")
+    return bare if bare in ("main", "cache") else "scan" if bare.startswith("scan-") else "file"
 
 
-def resolve(indices: dict[str, DataFrame], starts: list[str]) -> DataFrame:
-    """UNION ALL of the named indices, each once, with index_type; `scan` is every scan index, `all` is everything. Unknown names are
-    skipped unless nothing is left."""
+def resolve(indices: dict[str, DataFrame], starts: list[str], load: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """UNION ALL of the named indices, each once, with index_type; `scan` is every scan index, `all` is everything, and what contains a slash
+    is the path of an index file for load(). Unknown names are skipped unless nothing is left."""
     names: list[str] = []
+    indices = dict(indices)
+    types = {n: n for n in indices}
     for start in starts:
+        if "/" in start and load is not None:
+            if start not in indices:
+                indices[start], types[start] = load(start), index_type(start)
+            names += [start] if start not in names else []
+            continue
         bare = start.removesuffix(".idx")
-        pick = list(indices) if bare == "all" else [n for n in indices if n == bare or bare == "scan" and n.startswith("scan-")]
+        pick = [n for n in indices if "/" not in n] if bare == "all" else [n for n in indices if n == bare or bare == "scan" and n.startswith("scan-")]
         names += [n for n in pick if n not in names]
     if not names:
         raise FindError(f"no index: {' '.join(starts)}")
-    return reduce(DataFrame.unionByName, [indices[n].withColumn("index_type", F.lit(n)) for n in names])
+    return reduce(DataFrame.unionByName, [indices[n].withColumn("index_type", F.lit(types[n])) for n in names])
 
 
-def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None) -> list[DataFrame]:
-    """One DataFrame for each action of the command line."""
-    query = parse(tokens, now_ns)
-    rows = resolve(indices, query.starts)
+def selected(indices: dict[str, DataFrame], query: Query, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """The rows of the starting points, with on_disk where the query needs it."""
+    rows = resolve(indices, query.starts, load)
     if query.missing:
         if disk is None:
             raise FindError("--missing needs the files on disk")
         there = disk.select("path").distinct().withColumn("on_disk", F.lit(True))
         rows = rows.join(there, "path", "left").withColumn("on_disk", F.coalesce("on_disk", F.lit(False)))
-    rows = matching(rows, query)
-    return [act(rows, action, value, disk) for action, value in query.actions]
+    return rows
+
+
+def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, accepted: DataFrame | None = None, hash_type: int = 2) -> list[DataFrame]:
+    """One DataFrame for each action of the command line. The rows of an action have no order; lines of a report are sorted by whoever
+    shows them."""
+    query = parse(tokens, now_ns)
+    rows = matching(selected(indices, query, disk, load), query)
+    return [act(rows, action, value, disk, accepted, hash_type) for action, value in query.actions]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import literals, scalars
-from .operators import aggregate, diff, edit, search, validate
+from .operators import aggregate, diff, edit, report, search, validate
 from .plans import find
 from .schema import HASH_NAMES, LINK, MAX_FILE_SIZE, SECOND
 from .sources.entries import ALL_SQL, CACHE_SQL, EPOCH, MAIN_SQL, SCAN_SQL, defective, entries
@@ -63,14 +64,14 @@ def dupes_wasted_bytes(spark, sf):
     return aggregate.wasted_bytes(entries(spark, sf, "all"))
 
 
-@query("stats_live", "SELECT count(*) AS n_files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size FROM e WHERE NOT is_deleted", e=MAIN_SQL)
+@query("stats_live", "SELECT count(*) AS n_files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size FROM e WHERE NOT is_deleted", e=ALL_SQL)
 def stats_live(spark, sf):
-    return aggregate.stats(entries(spark, sf))
+    return aggregate.stats(entries(spark, sf, "all"))
 
 
-@query("stats_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE is_deleted) AS deleted, count(*) FILTER (WHERE NOT is_deleted) AS active FROM e", e=MAIN_SQL)
+@query("stats_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE is_deleted) AS deleted, count(*) FILTER (WHERE NOT is_deleted) AS active FROM e", e=ALL_SQL)
 def stats_counts(spark, sf):
-    return aggregate.counts(entries(spark, sf))
+    return aggregate.counts(entries(spark, sf, "all"))
 
 
 STATUS = """
@@ -107,6 +108,31 @@ def status_lists(spark, sf):
     return diff.status_lists(_status(spark, sf))
 
 
+@query("status_rows", "SELECT status, path FROM st WHERE status <> 'unchanged'", m=MAIN_SQL, s=SCAN_SQL, st=STATUS)
+def status_rows(spark, sf):
+    return diff.status_rows(_status(spark, sf))
+
+
+@query("status_json", """SELECT path, '{"path":"' || path || '","status":"' || status || '"}' AS json FROM st WHERE status <> 'unchanged'""", m=MAIN_SQL, s=SCAN_SQL, st=STATUS)
+def status_json(spark, sf):
+    return report.status_json(_status(spark, sf))
+
+
+@query("dupes_json", """SELECT hash, '{"hash":"' || hash || '","files":["' || array_to_string(list_sort(list(path)), '","') || '"],"count":' || count(*) || '}' AS json FROM e WHERE NOT is_deleted GROUP BY hash HAVING count(*) > 1""", e=ALL_SQL)
+def dupes_json(spark, sf):
+    return report.duplicates_json(aggregate.duplicates(entries(spark, sf, "all")))
+
+
+@query("dupes_text", "SELECT hash, count(*) || ' files of hash ' || hash || ':' || chr(10) || array_to_string(list_sort(list(path)), chr(10)) AS text FROM e WHERE NOT is_deleted GROUP BY hash HAVING count(*) > 1", e=ALL_SQL)
+def dupes_text(spark, sf):
+    return report.duplicates_text(aggregate.duplicates(entries(spark, sf, "all")))
+
+
+@query("path_ends", "SELECT min(path) AS first, max(path) AS last FROM e", e=ALL_SQL)
+def path_ends(spark, sf):
+    return aggregate.first_last(entries(spark, sf, "all"))
+
+
 @query(
     "scan_diff_plan",
     """SELECT coalesce(s.path, i.path) AS path, s.path IS NULL AS is_deleted,
@@ -139,9 +165,9 @@ def cache_delta(spark, sf):
     return diff.delta(diff.overlay(entries(spark, sf), entries(spark, sf, "cache"))).select("path", "file_size", "hash", "context")
 
 
-@query("main_writable", "SELECT path, hash FROM e WHERE NOT is_deleted AND hash_type <> 0", e=MAIN_SQL)
+@query("main_writable", "SELECT path, hash FROM e WHERE NOT is_deleted AND hash_type <> 0", e=ALL_SQL)
 def main_writable(spark, sf):
-    return diff.writable(entries(spark, sf), "main", "main").select("path", "hash")
+    return diff.writable(entries(spark, sf, "all"), "main", "main").select("path", "hash")
 
 
 # find: one query a test, each as (tokens, condition in SQL)
@@ -155,10 +181,8 @@ FINDS = {
     "find_size_plus": (["--size", "+2k"], "file_size > 2048"),
     "find_size_minus": (["--size", "-1.5k"], "file_size < 1536"),
     "find_size_eq": (["--size", "380c"], "file_size = 380"),
-    "find_empty": (["--empty"], "file_size = 0"),
     "find_deleted": (["--deleted"], "is_deleted"),
     "find_valid": (["--valid"], f"hash_type BETWEEN 1 AND 3 AND length(hash) = 64 AND file_size <= {MAX_FILE_SIZE}"),
-    "find_corrupt": (["--corrupt"], "hash_type NOT BETWEEN 1 AND 3"),
     "find_hash_exact": (["--hash", "87522299EAFFE77355E048C9F7EEF3AC2BF46B4A3F22B3F64E953830B3EC13B7"], "hash = '87522299eaffe77355e048c9f7eef3ac2bf46b4a3f22b3f64e953830b3ec13b7'"),
     "find_hash_prefix": (["--hash-prefix", "A"], "hash LIKE 'a%'"),
     "find_hash_type": (["--hash-type", "SHA256"], "hash_type = 2"),
@@ -178,13 +202,13 @@ FINDS = {
 
 def _find_query(tokens: list[str]) -> Query:
     def run(spark, sf):
-        return find.find({"main": entries(spark, sf)}, ["main", *tokens], NOW)[0]
+        return find.find({"main": entries(spark, sf, "all")}, ["main", *tokens], NOW)[0]
 
     return run
 
 
 for _name, (_tokens, _where) in FINDS.items():
-    query(_name, f"SELECT path AS line FROM e WHERE {_where}", e=MAIN_SQL)(_find_query(_tokens))
+    query(_name, f"SELECT path AS line FROM e WHERE {_where}", e=ALL_SQL)(_find_query(_tokens))
 
 
 @query("find_missing", "SELECT path AS line FROM e WHERE path NOT IN (SELECT path FROM s)", e=MAIN_SQL, s=SCAN_SQL)
@@ -203,7 +227,7 @@ def find_union_all(spark, sf):
 
 
 def _act(spark, sf, *tokens):
-    return find.find({"main": entries(spark, sf)}, ["main", *tokens], NOW)[0]
+    return find.find({"main": entries(spark, sf, "all")}, ["main", *tokens], NOW)[0]
 
 
 ISO = f"strftime(make_timestamp(({{0}} // {SECOND}) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST({{0}} % {SECOND} AS VARCHAR), 9, '0') || 'Z'"
@@ -213,7 +237,7 @@ OCTAL = "CAST((mode >> 6) & 7 AS VARCHAR) || CAST((mode >> 3) & 7 AS VARCHAR) ||
 @query(
     "find_printf",
     f"SELECT path || chr(9) || {NAME} || ' in ' || regexp_replace(path, '/[^/]*$', '') || ' ' || file_size || '%' || {OCTAL} || ' ' || uid || ':' || gid || ' ' || hash || ' ' || CASE hash_type WHEN 2 THEN 'sha256' ELSE 'unknown' END || ' main 1 ' || {ISO.format('mtime_ns')} || ' ' || {ISO.format('ctime_ns')} || chr(10) AS line FROM e",
-    e=MAIN_SQL,
+    e=ALL_SQL,
 )
 def find_printf(spark, sf):
     return _act(spark, sf, "--printf", r"%p\t%f in %h %s%%%m %u:%g %H %Y %i %d %t %c\n")
@@ -222,17 +246,17 @@ def find_printf(spark, sf):
 RWX = "".join(f" || CASE WHEN mode & {1 << (8 - i)} <> 0 THEN '{'rwx'[i % 3]}' ELSE '-' END" for i in range(9))
 
 
-@query("find_ls", f"SELECT CASE WHEN mode & {LINK} <> 0 THEN 'l' ELSE '-' END{RWX} || ' 1 ' || uid || ' ' || gid || ' ' || file_size || ' ' || {ISO.format('mtime_ns')} || ' [main] ' || path AS line FROM e", e=MAIN_SQL)
+@query("find_ls", f"SELECT CASE WHEN mode & {LINK} <> 0 THEN 'l' ELSE '-' END{RWX} || ' 1 ' || uid || ' ' || gid || ' ' || file_size || ' ' || {ISO.format('mtime_ns')} || ' [main] ' || path AS line FROM e", e=ALL_SQL)
 def find_ls(spark, sf):
     return _act(spark, sf, "--ls")
 
 
-@query("find_print0", "SELECT path || chr(0) AS line FROM e", e=MAIN_SQL)
+@query("find_print0", "SELECT path || chr(0) AS line FROM e", e=ALL_SQL)
 def find_print0(spark, sf):
     return _act(spark, sf, "--print0")
 
 
-@query("find_validate", "SELECT path, hash_type BETWEEN 1 AND 3 AS valid FROM e", e=MAIN_SQL)
+@query("find_validate", "SELECT path, hash_type BETWEEN 1 AND 3 AS valid FROM e", e=ALL_SQL)
 def find_validate(spark, sf):
     return _act(spark, sf, "--validate")
 
@@ -242,31 +266,51 @@ def find_checksum(spark, sf):
     return find.find({"main": entries(spark, sf)}, ["main", "--checksum"], NOW, entries(spark, sf, "cache"))[0]
 
 
-@query("index_search", f"SELECT path, file_size, hash FROM e WHERE NOT is_deleted AND regexp_matches({NAME}, '[0-9]\\.txt$') AND path LIKE 'src1%' AND hash LIKE 'a%'", e=MAIN_SQL)
+@query("index_search", f"SELECT path, file_size, hash FROM e WHERE NOT is_deleted AND regexp_matches({NAME}, '[0-9]\\.txt$') AND path LIKE 'src1%' AND hash LIKE 'a%'", e=ALL_SQL)
 def index_search(spark, sf):
-    return search.search(entries(spark, sf), name="*[0-9].txt", prefix="src1", hash_prefix="A").select("path", "file_size", "hash")
+    return search.search(entries(spark, sf, "all"), name="*[0-9].txt", prefix="src1", hash_prefix="A").select("path", "file_size", "hash")
 
 
-@query("index_search_deleted", "SELECT path, file_size, hash FROM e WHERE is_deleted", e=MAIN_SQL)
+@query("index_search_deleted", "SELECT path, file_size, hash FROM e WHERE is_deleted", e=ALL_SQL)
 def index_search_deleted(spark, sf):
-    return search.search(entries(spark, sf), deleted=True).select("path", "file_size", "hash")
+    return search.search(entries(spark, sf, "all"), deleted=True).select("path", "file_size", "hash")
 
 
-@query("ignore_filter", "SELECT path FROM e WHERE NOT (regexp_matches(path, '^src1/') OR regexp_matches(regexp_replace(path, '/[^/]*$', ''), '/de$') OR regexp_matches(path, '7\\.txt$'))", e=MAIN_SQL)
+@query("ignore_filter", "SELECT path FROM e WHERE NOT (regexp_matches(path, '^src1/') OR regexp_matches(regexp_replace(path, '/[^/]*$', ''), '/de$') OR regexp_matches(path, '7\\.txt$'))", e=ALL_SQL)
 def ignore_filter(spark, sf):
-    return entries(spark, sf).filter(~scalars.ignored(F.col("path"), IGNORE)).select("path")
+    return entries(spark, sf, "all").filter(~scalars.ignored(F.col("path"), IGNORE)).select("path")
 
 
-@query("root_dedup", "SELECT path FROM e WHERE path LIKE 'src1/%' OR path LIKE 'src2/en/%'", e=MAIN_SQL)
+@query("root_dedup", "SELECT path FROM e WHERE path LIKE 'src1/%' OR path LIKE 'src2/en/%'", e=ALL_SQL)
 def root_dedup(spark, sf):
     roots = literals.prune_roots(["src1/en", "./src1", "src2/en/", "src1//fr"])
-    rows = entries(spark, sf).select("path")
+    rows = entries(spark, sf, "all").select("path")
     here = F.lit(False)
     for r in roots:
         here = here | scalars.under(F.col("path"), r)
     return rows.filter(here)
 
 
+@query("index_lookup", "SELECT path, file_size, hash, context FROM e WHERE path = (SELECT max(path) FROM e WHERE path LIKE 'src1/%')", e=ALL_SQL)
+def index_lookup(spark, sf):
+    rows = entries(spark, sf, "all")
+    path = rows.filter("path like 'src1/%'").agg(F.max("path")).first()[0]
+    return diff.lookup(rows, path).select("path", "file_size", "hash", "context")
+
+
+def _odd_size(rows: DataFrame):
+    @F.pandas_udf("boolean")
+    def odd(size: pd.Series) -> pd.Series:
+        return size % 2 == 1
+
+    return odd("file_size")
+
+
+@query("index_compose", "SELECT path, file_size FROM e WHERE NOT is_deleted AND file_size % 2 = 1 AND path LIKE 'src%'", e=ALL_SQL)
+def index_compose(spark, sf):
+    return search.compose(entries(spark, sf, "all"), ~F.col("is_deleted"), _odd_size, F.col("path").startswith("src")).select("path", "file_size")
+
+
 # retention: events stand for snapshots
 SNAPSHOTS = "SELECT event_id AS id, ts AS time FROM events"
 PERIODS = {"hourly": "%Y-%m-%d %H", "daily": "%Y-%m-%d", "weekly": "%G-W%V", "monthly": "%Y-%m", "yearly": "%Y"}
@@ -305,9 +349,26 @@ def snapshot_latest(spark, sf):
     return aggregate.latest(snapshots(spark, sf), 10).select("id")
 
 
-@query("snapshot_tree_hash", "SELECT sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path || ':' || hash)) AS tree FROM e", e=MAIN_SQL)
+@query("snapshot_table_hash", "SELECT sha256(string_agg(name || ':' || h, chr(10) ORDER BY name || ':' || h)) AS tree FROM (SELECT substr(sha256(path), 1, 4) AS name, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path || ':' || hash)) AS h FROM e GROUP BY 1)", e=ALL_SQL)
+def snapshot_table_hash(spark, sf):
+    return aggregate.table_hash(entries(spark, sf, "all"))
+
+
+@query("snapshot_ids", f"SELECT event_id AS id, strftime(ts, '%Y%m%dT%H%M%S') || '.' || lpad(CAST(epoch_ns(ts) % {SECOND} AS VARCHAR), 9, '0') || 'Z' AS name FROM events")
+def snapshot_ids(spark, sf):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), scalars.snapshot_id(ns).alias("name"))
+
+
+@query("newest_scan", "SELECT name, time FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'scan-' ELSE 'main-' END || user_id || '-' || event_id AS name, ts AS time FROM events) WHERE name LIKE 'scan-%' ORDER BY time DESC, name DESC LIMIT 1")
+def newest_scan(spark, sf):
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "scan-").otherwise("main-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string"))
+    return aggregate.newest_scan(spark.read.parquet(f"{sf}/events.parquet").select(name.alias("name"), F.col("ts").alias("time")))
+
+
+@query("snapshot_tree_hash", "SELECT sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path || ':' || hash)) AS tree FROM e", e=ALL_SQL)
 def snapshot_tree_hash(spark, sf):
-    return aggregate.tree_hash(entries(spark, sf).select(F.col("path").alias("name"), "hash"))
+    return aggregate.tree_hash(entries(spark, sf, "all").select(F.col("path").alias("name"), "hash"))
 
 
 @query(
@@ -321,7 +382,7 @@ def snapshot_summary(spark, sf):
 
 # rules, on rows with injected defects
 BAD = f"""
-  SELECT ino, CASE WHEN doc_id % 41 = 0 THEN '' ELSE path END AS path, CASE WHEN doc_id % 37 = 0 THEN {MAX_FILE_SIZE + 1} ELSE file_size END AS file_size, hash_type,
+  SELECT ino, CASE WHEN doc_id % 41 = 0 THEN '' ELSE path END AS path, CASE WHEN doc_id % 37 = 0 THEN {MAX_FILE_SIZE + 1} WHEN doc_id % 59 = 0 THEN 0 ELSE file_size END AS file_size, hash_type,
          CASE WHEN doc_id % 19 = 0 THEN repeat('0', 64) WHEN doc_id % 23 = 0 THEN '' WHEN doc_id % 31 = 0 THEN 'zz' || substr(hash, 3) ELSE hash END AS hash,
          CASE WHEN doc_id % 43 = 0 THEN -1 ELSE ctime_ns END AS ctime_ns, CASE WHEN doc_id % 47 = 0 THEN {4_000_000_000 * SECOND} ELSE mtime_ns END AS mtime_ns
   FROM e
@@ -335,35 +396,45 @@ SOFT_RULES = f"""CASE WHEN path = '' THEN 'empty path' WHEN file_size > {MAX_FIL
 
 
 def _bad(spark, sf):
-    return defective(entries(spark, sf))
+    return defective(entries(spark, sf, "all"))
 
 
-@query("validate_logical", f"SELECT ino, {RULES} AS error FROM b", e=MAIN_SQL, b=BAD)
+@query("validate_logical", f"SELECT ino, {RULES} AS error FROM b", e=ALL_SQL, b=BAD)
 def validate_logical(spark, sf):
     return validate.check(_bad(spark, sf), "diagnostic", NOW).select("ino", "error")
 
 
-@query("validate_lenient", f"SELECT ino FROM b WHERE {RULES} IS NULL", e=MAIN_SQL, b=BAD)
+@query("validate_lenient", f"SELECT ino FROM b WHERE {RULES} IS NULL", e=ALL_SQL, b=BAD)
 def validate_lenient(spark, sf):
     return validate.check(_bad(spark, sf), "lenient", NOW).select("ino")
 
 
-@query("validate_recovery", f"SELECT ino, error FROM (SELECT ino, {SOFT_RULES} AS error FROM b) WHERE error IS NULL OR error NOT IN ('invalid ctime', 'invalid mtime')", e=MAIN_SQL, b=BAD)
+@query("validate_recovery", f"SELECT ino, error FROM (SELECT ino, {SOFT_RULES} AS error FROM b) WHERE error IS NULL OR error NOT IN ('invalid ctime', 'invalid mtime')", e=ALL_SQL, b=BAD)
 def validate_recovery(spark, sf):
     return validate.check(_bad(spark, sf), "recovery", NOW, auto_fix=True).select("ino", "error")
 
 
-@query("validate_entry", f"SELECT ino, path <> '' AND hash <> '' AND hash_type BETWEEN 1 AND 3 AND length(hash) = 64 AND file_size <= {MAX_FILE_SIZE} AS valid FROM b", e=MAIN_SQL, b=BAD)
+@query("validate_entry", f"SELECT ino, path <> '' AND hash <> '' AND hash_type BETWEEN 1 AND 3 AND length(hash) = 64 AND file_size <= {MAX_FILE_SIZE} AS valid FROM b", e=ALL_SQL, b=BAD)
 def validate_entry(spark, sf):
     return _bad(spark, sf).select("ino", scalars.valid().alias("valid"))
 
 
+@query("find_empty", "SELECT path AS line FROM b WHERE file_size = 0", e=ALL_SQL, b=BAD)
+def find_empty(spark, sf):
+    return find.find({"main": _bad(spark, sf)}, ["main", "--empty"], NOW)[0]
+
+
+@query("find_corrupt", f"SELECT path AS line FROM b WHERE hash_type NOT BETWEEN 1 AND 3 OR file_size > {MAX_FILE_SIZE} OR path = '' OR hash = '' OR hash = repeat('0', 64) OR NOT regexp_full_match(hash, '[0-9a-fA-F]*')", e=ALL_SQL, b=BAD)
+def find_corrupt(spark, sf):
+    return find.find({"main": _bad(spark, sf)}, ["main", "--corrupt"], NOW)[0]
+
+
 @query(
     "detect_corruption",
     f"""SELECT ino, list_filter([CASE WHEN hash = repeat('0', length(hash)) THEN 'all-zero hash' END, CASE WHEN hash_type NOT BETWEEN 1 AND 3 THEN 'invalid hash type: ' || hash_type END,
        CASE WHEN file_size > {MAX_FILE_SIZE} THEN 'unreasonable file size: ' || file_size || ' bytes' END, CASE WHEN path = '' THEN 'empty file path' END, CASE WHEN hash = '' THEN 'empty hash' END,
        CASE WHEN NOT regexp_full_match(hash, '[0-9a-fA-F]*') THEN 'hash contains non-hex characters' END], lambda x: x IS NOT NULL) AS issues FROM b""",
-    e=MAIN_SQL, b=BAD,
+    e=ALL_SQL, b=BAD,
 )
 def detect_corruption(spark, sf):
     return _bad(spark, sf).select("ino", scalars.corruption().alias("issues"))
@@ -381,63 +452,119 @@ def fix_plan(spark, sf):
     return validate.fix_plan(entries(spark, sf), entries(spark, sf, "scan"))
 
 
+#: The scan with other modes and owners on some files, as the disk for repairs.
+DISK_SQL = "SELECT * REPLACE (CASE WHEN ino % 4 = 0 THEN 384 ELSE mode END AS mode, CASE WHEN ino % 6 = 0 THEN uid + 7 ELSE uid END AS uid, CASE WHEN ino % 10 = 0 THEN gid + 1 ELSE gid END AS gid) FROM s"
+
+
+def _disk(spark, sf):
+    n = F.col("ino")
+    changed = {"mode": F.when(n % 4 == 0, 0o600).otherwise(F.col("mode")), "uid": F.when(n % 6 == 0, F.col("uid") + 7).otherwise(F.col("uid")), "gid": F.when(n % 10 == 0, F.col("gid") + 1).otherwise(F.col("gid"))}
+    return entries(spark, sf, "scan").withColumns({c: x.cast("long") for c, x in changed.items()})
+
+
+FIXED = f"""SELECT e.path, coalesce(d.file_size, e.file_size) AS file_size, coalesce(d.mode, e.mode) AS mode, coalesce(d.uid, e.uid) AS uid, coalesce(d.gid, e.gid) AS gid, e.is_deleted OR d.path IS NULL AS is_deleted, 2::BIGINT AS hash_type,
+       CASE WHEN abs(e.mtime_ns - d.mtime_ns) > {SECOND} THEN d.mtime_ns ELSE e.mtime_ns END AS mtime_ns, CASE WHEN abs(e.mtime_ns - d.mtime_ns) > {SECOND} THEN d.ctime_ns ELSE e.ctime_ns END AS ctime_ns
+       FROM e LEFT JOIN d ON e.path = d.path"""
+FIXED_COLUMNS = ["path", "file_size", "mode", "uid", "gid", "is_deleted", "hash_type", "mtime_ns", "ctime_ns"]
+
+
+@query("fix_auto", FIXED, e=MAIN_SQL, s=SCAN_SQL, d=DISK_SQL)
+def fix_auto(spark, sf):
+    return validate.fix(entries(spark, sf), _disk(spark, sf)).select(*FIXED_COLUMNS)
+
+
+@query("find_fix", FIXED, e=MAIN_SQL, s=SCAN_SQL, d=DISK_SQL)
+def find_fix(spark, sf):
+    return find.find({"main": entries(spark, sf)}, ["main", "--fix", "auto"], NOW, _disk(spark, sf))[0].select(*FIXED_COLUMNS)
+
+
+@query("fix_manual", "SELECT e.path, e.file_size, coalesce(CASE WHEN e.ino % 2 = 0 THEN d.mode END, e.mode) AS mode, e.is_deleted FROM e LEFT JOIN d ON e.path = d.path", e=MAIN_SQL, s=SCAN_SQL, d=DISK_SQL)
+def fix_manual(spark, sf):
+    accepted = entries(spark, sf).filter("ino % 2 = 0").select("path", F.lit("file_mode").alias("type"))
+    return find.find({"main": entries(spark, sf)}, ["main", "--fix", "manual"], NOW, _disk(spark, sf), accepted=accepted)[0].select("path", "file_size", "mode", "is_deleted")
+
+
 @query(
-    "fix_auto",
-    f"""SELECT e.path, coalesce(s.file_size, e.file_size) AS file_size, e.is_deleted OR s.path IS NULL AS is_deleted, 2::BIGINT AS hash_type,
-       CASE WHEN abs(e.mtime_ns - s.mtime_ns) > {SECOND} THEN s.mtime_ns ELSE e.mtime_ns END AS mtime_ns, CASE WHEN abs(e.mtime_ns - s.mtime_ns) > {SECOND} THEN s.ctime_ns ELSE e.ctime_ns END AS ctime_ns
-       FROM e LEFT JOIN s ON e.path = s.path""",
-    e=MAIN_SQL, s=SCAN_SQL,
+    "fix_counts",
+    f"""SELECT count(*) FILTER (WHERE NOT lost AND NOT todo) AS valid, count(*) FILTER (WHERE NOT lost AND todo) AS fixed, count(*) FILTER (WHERE lost) AS discarded FROM (
+       SELECT e.doc_id % 23 = 0 AS lost, e.hash_type = 0 OR (d.path IS NULL AND NOT e.is_deleted) OR coalesce(e.file_size <> d.file_size OR e.mode <> d.mode OR e.uid <> d.uid OR e.gid <> d.gid OR abs(e.mtime_ns - d.mtime_ns) > {SECOND}, false) AS todo
+       FROM e LEFT JOIN d ON e.path = d.path)""",
+    e=MAIN_SQL, s=SCAN_SQL, d=DISK_SQL,
 )
-def fix_auto(spark, sf):
-    return validate.fix(entries(spark, sf), entries(spark, sf, "scan")).select("path", "file_size", "is_deleted", "hash_type", "mtime_ns", "ctime_ns")
+def fix_counts(spark, sf):
+    rows = entries(spark, sf).withColumn("hash", F.when((F.col("ino") - 100) % 23 == 0, "").otherwise(F.col("hash")))
+    return validate.fix_counts(rows, _disk(spark, sf), NOW)
 
 
 # edits
 EDITED = "'" + "', '".join(edit.keys_of(KEYS)) + "'"
 
 
-@query("edit_update", f"SELECT path, CASE WHEN path IN ({EDITED}) THEN 4096 ELSE file_size END AS file_size, CASE WHEN path IN ({EDITED}) THEN 493 ELSE mode END AS mode, CASE WHEN path IN ({EDITED}) THEN 1704164645000000006 ELSE mtime_ns END AS mtime_ns, CASE WHEN path IN ({EDITED}) THEN true ELSE is_deleted END AS is_deleted FROM e", e=MAIN_SQL)
+@query("edit_update", f"SELECT path, CASE WHEN path IN ({EDITED}) THEN 4096 ELSE file_size END AS file_size, CASE WHEN path IN ({EDITED}) THEN 493 ELSE mode END AS mode, CASE WHEN path IN ({EDITED}) THEN 1704164645000000006 ELSE mtime_ns END AS mtime_ns, CASE WHEN path IN ({EDITED}) THEN true ELSE is_deleted END AS is_deleted FROM e", e=ALL_SQL)
 def edit_update(spark, sf):
     changes = {"file_size": "0x1000", "mode": "0755", "mtime": "2024-01-02T03:04:05.000000006Z", "flag_is_deleted": "yes"}
-    return edit.update(entries(spark, sf), changes, KEYS).select("path", "file_size", "mode", "mtime_ns", "is_deleted")
+    return edit.update(entries(spark, sf, "all"), changes, KEYS).select("path", "file_size", "mode", "mtime_ns", "is_deleted")
 
 
-@query("edit_append", f"SELECT path, file_size, mtime_ns, hash FROM e UNION ALL SELECT '{ROW['path']}', 12, 1704164645000000006, '{ROW['hash']}'", e=MAIN_SQL)
+@query("edit_append", f"SELECT path, file_size, mtime_ns, hash FROM e UNION ALL SELECT '{ROW['path']}', 12, 1704164645000000006, '{ROW['hash']}'", e=ALL_SQL)
 def edit_append(spark, sf):
-    return edit.append(entries(spark, sf), ROW).select("path", "file_size", "mtime_ns", "hash")
+    return edit.append(entries(spark, sf, "all"), ROW).select("path", "file_size", "mtime_ns", "hash")
 
 
-@query("edit_remove", f"SELECT path FROM e WHERE path NOT IN ({EDITED})", e=MAIN_SQL)
+@query("edit_remove", f"SELECT path FROM e WHERE path NOT IN ({EDITED})", e=ALL_SQL)
 def edit_remove(spark, sf):
-    return edit.remove(entries(spark, sf), KEYS).select("path")
+    return edit.remove(entries(spark, sf, "all"), KEYS).select("path")
 
 
-@query("edit_show", f"SELECT path, file_size, hash FROM e WHERE path IN ({EDITED})", e=MAIN_SQL)
+@query("edit_show", f"SELECT path, file_size, hash FROM e WHERE path IN ({EDITED})", e=ALL_SQL)
 def edit_show(spark, sf):
-    return diff.select_keys(entries(spark, sf), edit.keys_of(KEYS)).select("path", "file_size", "hash")
+    return diff.select_keys(entries(spark, sf, "all"), edit.keys_of(KEYS)).select("path", "file_size", "hash")
 
 
-@query("edit_not_found", f"SELECT path FROM (SELECT unnest([{EDITED}]) AS path) WHERE path NOT IN (SELECT path FROM e)", e=MAIN_SQL)
+@query("edit_not_found", f"SELECT path FROM (SELECT unnest([{EDITED}]) AS path) WHERE path NOT IN (SELECT path FROM e)", e=ALL_SQL)
 def edit_not_found(spark, sf):
-    return diff.missing_keys(entries(spark, sf), edit.keys_of(KEYS))
+    return diff.missing_keys(entries(spark, sf, "all"), edit.keys_of(KEYS))
 
 
-@query("entries_json", "SELECT path, '{\"path\":\"' || path || '\",\"file_size\":' || file_size || ',\"is_deleted\":' || is_deleted || '}' AS json FROM e", e=MAIN_SQL)
+@query("entries_json", "SELECT path, '{\"path\":\"' || path || '\",\"file_size\":' || file_size || ',\"is_deleted\":' || is_deleted || '}' AS json FROM e", e=ALL_SQL)
 def entries_json(spark, sf):
-    return edit.to_json(entries(spark, sf).select("path", "file_size", "is_deleted"))
+    return edit.to_json(entries(spark, sf, "all").select("path", "file_size", "is_deleted"))
+
+
+PLAIN = f"strftime(make_timestamp(({{0}} // {SECOND}) * 1000000), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(
+    "entries_text",
+    f"""SELECT path, 'Path: ' || path || chr(10) || '  Size: ' || file_size || ' bytes' || chr(10) || '  Mode: 0' || {OCTAL} || chr(10) || '  UID: ' || uid || chr(10) || '  GID: ' || gid || chr(10) || '  Dev: ' || dev || chr(10)
+       || '  MTime: ' || {PLAIN.format('mtime_ns')} || chr(10) || '  CTime: ' || {PLAIN.format('ctime_ns')} || chr(10) || '  Hash Type: ' || hash_type || chr(10) || '  Hash: ' || hash || chr(10) || '  Deleted: ' || is_deleted AS text FROM e""",
+    e=ALL_SQL,
+)
+def entries_text(spark, sf):
+    return report.entry_text(entries(spark, sf, "all"))
+
+
+@query(
+    "entries_iso_json",
+    f"""SELECT path, '{{"path":"' || path || '","flag_is_deleted":' || is_deleted || ',"file_size":' || file_size || ',"mode":' || mode || ',"uid":' || uid || ',"gid":' || gid || ',"dev":' || dev || ',"mtime":"' || {ISO.format('mtime_ns')}
+       || '","ctime":"' || {ISO.format('ctime_ns')} || '","hash":"' || hash || '","hash_type":' || hash_type || '}}' AS json FROM e""",
+    e=ALL_SQL,
+)
+def entries_iso_json(spark, sf):
+    return report.entry_json(entries(spark, sf, "all"))
 
 
 # functions
-@query("wall_encode", f"SELECT path, ((mtime_ns // {SECOND} + {scalars.WALL_OFFSET}) << 30) | (mtime_ns % {SECOND}) AS wall, mtime_ns AS back FROM e", e=MAIN_SQL)
+@query("wall_encode", f"SELECT path, ((mtime_ns // {SECOND} + {scalars.WALL_OFFSET}) << 30) | (mtime_ns % {SECOND}) AS wall, mtime_ns AS back FROM e", e=ALL_SQL)
 def wall_encode(spark, sf):
     wall = scalars.wall_encode(F.col("mtime_ns"))
-    return entries(spark, sf).select("path", wall.alias("wall"), scalars.wall_decode(wall).alias("back"))
+    return entries(spark, sf, "all").select("path", wall.alias("wall"), scalars.wall_decode(wall).alias("back"))
 
 
-@query("human_size", "SELECT path, CASE WHEN z < 1024 THEN z || ' B' WHEN z < 1048576 THEN format('{:.1f}', z / 1024) || ' KB' WHEN z < 1073741824 THEN format('{:.1f}', z / 1048576) || ' MB' ELSE format('{:.1f}', z / 1073741824) || ' GB' END AS size FROM (SELECT path, file_size * (ino % 7) * (ino % 5) * (ino % 3) * 100 AS z FROM e)", e=MAIN_SQL)
+@query("human_size", "SELECT path, CASE WHEN z < 1024 THEN z || ' B' WHEN z < 1048576 THEN format('{:.1f}', z / 1024) || ' KB' WHEN z < 1073741824 THEN format('{:.1f}', z / 1048576) || ' MB' ELSE format('{:.1f}', z / 1073741824) || ' GB' END AS size FROM (SELECT path, file_size * (ino % 7) * (ino % 5) * (ino % 3) * 100 AS z FROM e)", e=ALL_SQL)
 def human_size(spark, sf):
     scaled = F.col("file_size") * (F.col("ino") % 7) * (F.col("ino") % 5) * (F.col("ino") % 3) * 100
-    return entries(spark, sf).select("path", scalars.human_size(scaled).alias("size"))
+    return entries(spark, sf, "all").select("path", scalars.human_size(scaled).alias("size"))
 
 
 @query("hash_sha1", "SELECT doc_id, sha1(text) AS digest FROM documents")
@@ -455,8 +582,8 @@ def hash_sha512(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", scalars.digest(F.col("text"), 3).alias("digest"))
 
 
-@query("path_parts", f"SELECT path, {NAME} AS base, regexp_replace(path, '/[^/]*$', '') AS dir, CASE hash_type WHEN 2 THEN 'sha256' ELSE 'unknown' END AS hash_name, CAST(CASE hash_type WHEN 2 THEN 64 ELSE 40 END AS INT) AS digits FROM e", e=MAIN_SQL)
+@query("path_parts", f"SELECT path, {NAME} AS base, regexp_replace(path, '/[^/]*$', '') AS dir, CASE hash_type WHEN 2 THEN 'sha256' ELSE 'unknown' END AS hash_name, CAST(CASE hash_type WHEN 2 THEN 64 ELSE 40 END AS INT) AS digits FROM e", e=ALL_SQL)
 def path_parts(spark, sf):
     p, t = F.col("path"), F.col("hash_type")
     assert HASH_NAMES[2] == "sha256"
-    return entries(spark, sf).select("path", scalars.basename(p).alias("base"), scalars.dirname(p).alias("dir"), scalars.hash_name(t).alias("hash_name"), scalars.hash_hex_length(t).alias("digits"))
+    return entries(spark, sf, "all").select("path", scalars.basename(p).alias("base"), scalars.dirname(p).alias("dir"), scalars.hash_name(t).alias("hash_name"), scalars.hash_hex_length(t).alias("digits"))

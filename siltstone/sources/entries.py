@@ -45,7 +45,7 @@ def defective(df: DataFrame) -> DataFrame:
     n = F.col("ino") - 100
     return (
         df.withColumn("hash", F.when(n % 19 == 0, F.repeat(F.lit("0"), 64)).when(n % 23 == 0, "").when(n % 31 == 0, F.concat(F.lit("zz"), F.substring("hash", 3, 62))).otherwise(F.col("hash")))
-        .withColumn("file_size", F.when(n % 37 == 0, F.lit((1 << 62) + 1)).otherwise(F.col("file_size")))
+        .withColumn("file_size", F.when(n % 37 == 0, F.lit((1 << 62) + 1)).when(n % 59 == 0, 0).otherwise(F.col("file_size")))
         .withColumn("path", F.when(n % 41 == 0, "").otherwise(F.col("path")))
         .withColumn("ctime_ns", F.when(n % 43 == 0, F.lit(-1)).otherwise(F.col("ctime_ns")))
         .withColumn("mtime_ns", F.when(n % 47 == 0, F.lit(4_000_000_000 * SECOND)).otherwise(F.col("mtime_ns")))

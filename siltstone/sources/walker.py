@@ -111,13 +111,14 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, hash_ty
     return found.dropDuplicates(["path"])  # directories reached by a link and by themselves keep their paths apart
 
 
-def with_hashes(df: DataFrame, root: str) -> DataFrame:
-    """df with the hash of each row's file. Rows are dealt out by size, so that no task has all large files."""
+def with_hashes(df: DataFrame, root: str, workers: int = 4, buffer: int = BUFFER) -> DataFrame:
+    """df with the hash of each row's file, read in blocks of `buffer` bytes. Rows are dealt out by path over several tasks for each worker,
+    so that a huge file holds up only the few files of its own task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["hash"] = [hash_file(os.path.join(root, p), int(t)) for p, t in zip(frame["path"], frame["hash_type"])]
+            frame["hash"] = [hash_file(os.path.join(root, p), int(t), buffer) for p, t in zip(frame["path"], frame["hash_type"])]
             yield frame
 
-    dealt = df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism), F.xxhash64("path"))
-    return dealt.mapInPandas(run, df.schema)
+    tasks = 8 * max(workers, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, F.xxhash64("path")).mapInPandas(run, df.schema)

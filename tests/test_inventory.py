@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import siltstone.state_queries  # noqa: F401  (registers its queries)
 from siltstone import queries
 from siltstone.api import FileIndex, find_root
 from siltstone.config import Config, IgnoreRules

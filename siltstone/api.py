@@ -9,6 +9,7 @@ import json
 import logging
 import os
 import re
+import shutil
 import socket
 import time
 from collections.abc import Callable
@@ -202,25 +203,46 @@ class FileIndex:
         return r["n_files"], r["total_size"]
 
     def find(self, tokens: list[str], now_ns: int | None = None, accepted: list[tuple[str, str]] | None = None, dry_run: bool = False) -> list[DataFrame]:
-        """A frame for each action. --fix writes what it changes as a new version of the tables it starts from (not with dry_run); with
-        `manual` it applies the accepted issues, as (path, type) of issues(). With --warn, rows whose test cannot be decided are logged."""
+        """A frame for each action. --fix, --delete and --update-hash write what they change as a new version of the tables they start
+        from, and --fls, --export and --extract their files (not with dry_run). `--fix manual` applies the accepted issues, as (path, type)
+        of issues(). With --warn, rows whose test cannot be decided are logged."""
         now = now_ns if now_ns is not None else time.time_ns()
         query = find_plan.parse(tokens, now)
         indices = {n: self.store.read(n) for n in self.store.names()}
-        disk = self.hashed(self.scan()) if {"--missing", "--checksum", "--fix"} & set(tokens) else None
+        disk = self.hashed(self.scan()) if {"--missing", "--checksum", "--fix", "--update-hash"} & set(tokens) else None
         chosen = self.spark.createDataFrame(accepted, "path string, type string") if accepted else None
+        clean = [n for n in indices if not self.store.orphans(n)] if query.clean else None
         if query.options.get("warn") == "True":
-            for r in find_plan.undecided(find_plan.selected(indices, query, disk, self.load), query).limit(100).collect():
+            for r in find_plan.undecided(find_plan.selected(indices, query, disk, self.load, clean), query).limit(100).collect():
                 log.warning("%s in %s: the test cannot be decided", r["path"], r["index_type"])
-        out = find_plan.find(indices, tokens, now, disk, self.load, chosen, self.hash_type)
-        for (action, mode), frame in zip(query.actions, out):
-            if action == "fix" and mode != "none" and not dry_run:
-                for name in [r["index_type"] for r in frame.select("index_type").distinct().collect()]:
-                    if name in indices:
-                        fixed = frame.filter(F.col("index_type") == name).select(*ENTRY.fieldNames())
-                        self.store.write(name, diff.overlay(indices[name], fixed), f"fix {mode}")
+        out = find_plan.find(indices, tokens, now, disk, self.load, chosen, self.hash_type, clean)
+        for (action, value), frame in zip(query.actions, out):
+            if not dry_run:
+                self._carry_out(action, value, frame, indices)
         return out
 
+    def _carry_out(self, action: str, value: str | None, frame: DataFrame, indices: dict[str, DataFrame]) -> None:
+        """What an action does besides its rows. Tables get new versions; rows of index files stay as they are."""
+        if action in ("fix", "delete", "update-hash") and value != "none":
+            for name in [r["index_type"] for r in frame.select("index_type").distinct().collect()]:
+                if name in indices:
+                    changed = frame.filter(F.col("index_type") == name).select(*ENTRY.fieldNames())
+                    self.store.write(name, diff.overlay(indices[name], changed), f"{action} {value or ''}".strip())
+        elif action == "fls":
+            with open(value, "w", encoding="utf-8") as f:
+                f.writelines(r["line"] + "\n" for r in frame.orderBy("line").toLocalIterator())
+        elif action == "export":
+            binary.write_index(frame.filter("hash <> ''").dropDuplicates(["path"]), value, SIGNATURE)
+        elif action == "extract":
+            top = os.path.realpath(value)
+            for r in frame.distinct().toLocalIterator():
+                to = os.path.realpath(os.path.join(top, r["path"]))
+                if not to.startswith(top + os.sep):
+                    raise ValueError(f"outside of {value}: {r['path']!r}")
+                if os.path.isfile(source := os.path.join(self.root, r["path"])):
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    shutil.copy2(source, to)
+
     def issues(self, name: str = "main") -> DataFrame:
         """(path, type): what --fix auto would change in a table."""
         return validate.fix_plan(self.store.read(name), self.scan(), validate.repairs(self.hash_type)).orderBy("path", "type")
@@ -319,8 +341,6 @@ class FileIndex:
         return gone
 
     def remove_snapshot(self, snapshot_id: str) -> None:
-        import shutil
-
         shutil.rmtree(os.path.join(self.home, "snapshots", os.path.basename(snapshot_id)), ignore_errors=True)
 
     def compare(self, snapshot_id: str, backward: bool = False) -> DataFrame:

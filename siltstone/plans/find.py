@@ -4,7 +4,9 @@
     and  := not (('--and')? not)*        not := ('--not' | '!') primary | primary
     primary := '(' or ')' | test | action | option
 
-Actions and options stand outside the expression wherever they are written, and actions run on all matching rows.
+Actions and options stand outside the expression wherever they are written, and actions run on all matching rows. --quit leaves the
+first of them by path. Actions are frames here; what writes (--fix, --delete, --update-hash, --fls, --export, --extract) is carried
+out by the index that runs the query.
 """
 
 from __future__ import annotations
@@ -48,6 +50,12 @@ def type_test(letter: str) -> Column:
     return bits == TYPE_BITS[letter]
 
 
+def target_type_test(letter: str) -> Column:
+    """The type after links are followed: a link in an inventory leads to a regular file."""
+    linked = F.col("mode").bitwiseAND(F.lit(LINK)) != 0
+    return type_test(letter) | linked if letter == "f" else F.lit(False) if letter == "l" else type_test(letter)
+
+
 def perm_test(text: str) -> Column:
     how, digits = (text[0], text[1:]) if text[:1] in ("-", "/") else ("", text)
     if not digits or set(digits) - set("01234567"):
@@ -73,6 +81,7 @@ class Query:
     actions: list[tuple[str, str | None]] = field(default_factory=list)
     options: dict[str, str] = field(default_factory=dict)
     missing: bool = False  # whether --missing is used: rows then need the column on_disk
+    clean: bool = False  # whether --index-clean is used: rows then need the column index_clean
 
 
 class Parser:
@@ -96,6 +105,7 @@ class Parser:
             "--hash-prefix": lambda v: F.lower("hash").startswith(v.lower()),
             "--hash-type": lambda v: F.col("hash_type") == literals.hash_type(v),
             "--type": type_test,
+            "--xtype": target_type_test,
             "--perm": perm_test,
             "--dev": lambda v: F.col("dev") == literals.integer(v, 32),
             "--in-index": lambda v: F.col("index_type") == v,
@@ -106,12 +116,17 @@ class Parser:
             "--valid": valid,
             "--corrupt": lambda: F.size(corruption()) > 0,
             "--missing": self._missing,
+            "--index-clean": self._clean,
         }
 
     def _missing(self) -> Column:
         self.query.missing = True
         return ~F.col("on_disk")
 
+    def _clean(self) -> Column:
+        self.query.clean = True
+        return F.col("index_clean")
+
     def peek(self) -> str | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
 
@@ -186,9 +201,9 @@ class Parser:
                 raise FindError(str(e)) from None
         if token in self.plain:
             return self.plain[token]()
-        if token in ("--print", "--print0", "--ls", "--validate", "--checksum"):
+        if token in ("--print", "--print0", "--ls", "--validate", "--checksum", "--delete", "--update-hash"):
             self.query.actions.append((token[2:], None))
-        elif token in ("--printf", "--fix"):
+        elif token in ("--printf", "--fix", "--fls", "--export", "--extract"):
             value = self.argument(token)
             if token == "--fix" and value not in FIX_MODES:
                 raise FindError(f"not a fix mode: {value!r}")
@@ -199,6 +214,8 @@ class Parser:
             return MORE_TESTS[token](self.argument(token))
         elif token in MORE_ACTIONS:
             self.query.actions.append((token[2:], None))
+        elif token == "--quit":
+            self.query.options["quit"] = "True"
         elif token in ("--warn", "--nowarn"):
             self.query.options["warn"] = str(token == "--warn")
         else:
@@ -223,7 +240,8 @@ def in_depth(entries: DataFrame, query: Query) -> DataFrame:
 def matching(entries: DataFrame, query: Query) -> DataFrame:
     """Rows for which the condition holds; where it is null it does not."""
     out = in_depth(entries, query)
-    return out if query.condition is None else out.filter(F.coalesce(query.condition, F.lit(False)))
+    out = out if query.condition is None else out.filter(F.coalesce(query.condition, F.lit(False)))
+    return out.orderBy("path", "index_type").limit(1) if "quit" in query.options else out
 
 
 def undecided(entries: DataFrame, query: Query) -> DataFrame:
@@ -291,10 +309,16 @@ def act(rows: DataFrame, action: str, value: str | None = None, disk: DataFrame
         return rows.select(F.col("path").alias("line"))
     if action == "print0":
         return rows.select(F.concat("path", F.lit("\0")).alias("line"))
-    if action == "ls":
+    if action in ("ls", "fls"):
         return rows.select(listing().alias("line"))
     if action == "printf":
         return rows.select(printf(value).alias("line"))
+    if action == "extract":
+        return rows.filter("not is_deleted").select("path")
+    if action == "export":
+        return rows
+    if action == "delete":
+        return rows.withColumn("is_deleted", F.lit(True))
     if action == "validate":
         return rows.select("path", valid().alias("valid"))
     if disk is None:
@@ -303,6 +327,10 @@ def act(rows: DataFrame, action: str, value: str | None = None, disk: DataFrame
         fresh = disk.select("path", F.col("hash").alias("now"))
         same = F.when(F.col("now").isNull(), "missing").when(F.lower("now") == F.lower("hash"), "ok").otherwise("differs")
         return rows.join(fresh, "path", "left").select("path", same.alias("checksum"))
+    if action == "update-hash":
+        fresh = disk.select("path", F.col("hash").alias("now"), F.col("hash_type").alias("kind")).filter("now <> ''")
+        both = rows.join(fresh, "path", "left")
+        return both.withColumns({"hash": F.coalesce("now", "hash"), "hash_type": F.coalesce("kind", "hash_type")}).select(*rows.columns)
     from ..operators.validate import fix
 
     return fix(rows, disk, value, accepted, hash_type)
@@ -334,9 +362,12 @@ def resolve(indices: dict[str, DataFrame], starts: list[str], load: Callable[[st
     return reduce(DataFrame.unionByName, [indices[n].withColumn("index_type", F.lit(types[n])) for n in names])
 
 
-def selected(indices: dict[str, DataFrame], query: Query, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None) -> DataFrame:
-    """The rows of the starting points, with on_disk where the query needs it."""
+def selected(indices: dict[str, DataFrame], query: Query, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, clean: list[str] | None = None) -> DataFrame:
+    """The rows of the starting points, with on_disk and index_clean where the query needs them; clean names the clean indices (none given:
+    all are)."""
     rows = resolve(indices, query.starts, load)
+    if query.clean:
+        rows = rows.withColumn("index_clean", F.lit(True) if clean is None else F.col("index_type").isin(clean))
     if query.missing:
         if disk is None:
             raise FindError("--missing needs the files on disk")
@@ -345,9 +376,9 @@ def selected(indices: dict[str, DataFrame], query: Query, disk: DataFrame | None
     return rows
 
 
-def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, accepted: DataFrame | None = None, hash_type: int = 2) -> list[DataFrame]:
+def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, accepted: DataFrame | None = None, hash_type: int = 2, clean: list[str] | None = None) -> list[DataFrame]:
     """One DataFrame for each action of the command line. The rows of an action have no order; lines of a report are sorted by whoever
     shows them."""
     query = parse(tokens, now_ns)
-    rows = matching(selected(indices, query, disk, load), query)
+    rows = matching(selected(indices, query, disk, load, clean), query)
     return [act(rows, action, value, disk, accepted, hash_type) for action, value in query.actions]

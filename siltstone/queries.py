@@ -195,6 +195,8 @@ FINDS = {
     "find_perm_all": (["--perm", "-044"], "mode & 36 = 36"),
     "find_perm_any": (["--perm", "/011"], "mode & 9 <> 0"),
     "find_type": (["--type", "l"], f"mode & {LINK} <> 0"),
+    "find_xtype": (["--xtype", "f", "!", "--xtype", "l", "--index-clean"], "true"),
+    "find_quit": (["--path", "src1/*/*", "--quit"], "path = (SELECT min(path) FROM e WHERE regexp_matches(path, '^src1/[^/]*/[^/]*$'))"),
     "find_bool_tree": (["!", "(", "--size", "+1k", "--or", "--deleted", ")", "--path", "src*/en/*", "--and", "--not", "--perm", "644"], "NOT (file_size > 1024 OR is_deleted) AND regexp_matches(path, '^src[^/]*/en/[^/]*$') AND NOT mode & 511 = 420"),
     "find_maxdepth": (["--maxdepth", "3", "--type", "f"], f"len(string_split(path, '/')) <= 3 AND mode & {LINK} = 0"),
 }
@@ -256,6 +258,16 @@ def find_print0(spark, sf):
     return _act(spark, sf, "--print0")
 
 
+@query("find_delete", "SELECT path, true AS is_deleted FROM e WHERE file_size < 300", e=ALL_SQL)
+def find_delete(spark, sf):
+    return _act(spark, sf, "--size", "-300c", "--delete").select("path", "is_deleted")
+
+
+@query("find_update_hash", "SELECT e.path, coalesce(c.hash, e.hash) AS hash, CASE WHEN c.path IS NULL THEN e.hash_type ELSE c.hash_type END AS hash_type FROM e LEFT JOIN c ON e.path = c.path", e=ALL_SQL, c=CACHE_SQL)
+def find_update_hash(spark, sf):
+    return find.find({"main": entries(spark, sf, "all")}, ["main", "--update-hash"], NOW, entries(spark, sf, "cache"))[0].select("path", "hash", "hash_type")
+
+
 @query("find_validate", "SELECT path, hash_type BETWEEN 1 AND 3 AS valid FROM e", e=ALL_SQL)
 def find_validate(spark, sf):
     return _act(spark, sf, "--validate")

@@ -158,6 +158,21 @@ def test_index_files_by_path(spark, index, tmp_path):
     assert seen == [(p, "scan") for p in sorted(TREE)[:2]] and index.visit("main", lambda r: True) == len(TREE)
 
 
+def test_actions_that_write(spark, index, tmp_path):
+    index.find(["main", "--name", "file1*", "--delete"])
+    assert main(index)["file1.txt"].is_deleted and not main(index)["binary.bin"].is_deleted
+    index.edit({"hash": "ab" * 32}, ["binary.bin"])
+    index.find(["main", "--update-hash", "--name", "*.bin"], dry_run=True)
+    assert main(index)["binary.bin"].hash == "ab" * 32
+    index.find(["main", "--update-hash", "--name", "*.bin"])
+    assert main(index)["binary.bin"].hash == hashlib.sha256(TREE["binary.bin"]).hexdigest()
+    top = str(tmp_path / "made")
+    index.find(["main", "!", "--deleted", "--fls", f"{tmp_path}/list", "--export", f"{tmp_path}/out.idx", "--extract", top])
+    assert len(open(tmp_path / "list").read().splitlines()) == len(TREE) - 1 == binary.read_index(spark, f"file://{tmp_path}/out.idx").count()
+    assert open(f"{top}/subdir1/nested.txt", "rb").read() == TREE["subdir1/nested.txt"] and not os.path.exists(f"{top}/file1.txt")
+    assert [r.line for r in index.find(["main", "--index-clean", "--quit"])[0].collect()] == [min(TREE)]
+
+
 def test_warnings_of_undecided_tests(spark, index, caplog):
     df = index.store.read("main").withColumn("mode", F.when(F.col("path") != "file1.txt", F.col("mode")))
     query = find.parse(["main", "--perm", "644", "--warn"], 0)

@@ -17,6 +17,9 @@ Texts that equal another whole text as a whole are not sorted: all but the first
 
 from __future__ import annotations
 
+import itertools
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ LENGTH, ANCHOR = 50, 16
 #: Bytes of contexts that are sorted at once, as long as contexts of one anchor are not more; and queue entries held in memory.
 SHARD, HELD = 3 << 20, 1 << 18
 #: Bytes of text whose anchors are looked at in one group, in the mean.
-GROUP = 6 << 20
+GROUP = 24 << 20
+#: Bytes of anchors of one group that are looked at at once; a group with more, as of a passage that very many texts have, goes through a file.
+AT_ONCE = 96 << 20
 #: Anchors are split by the bytes beside them that have more than this share of all distinct contexts, or more of them than a shard holds.
 HOT = 1 / 400
 #: Up to so many split anchors are broadcast; beyond it, they are joined by shuffle.
@@ -185,21 +190,59 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
             mine = mine[np.concatenate([[True], (doc[mine[1:]] != doc[mine[:-1]]) | (start[mine[1:]] != start[mine[:-1]])])] if len(mine) else mine
             return pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array(start[mine])], names=["doc_id", "start"])
 
-        key, rows = None, []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for g, *row in zip(*columns):
-                if g != key and rows:
-                    yield group(rows)
-                    rows = []
-                key = g
-                rows.append(row)
-        if rows:
-            yield group(rows)
+        def parts(rows: Iterator[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+            """(value, key before, key after, text, doc, start) of a row at a time; a key is 0 where the text ends."""
+            for hashes, counts, docs_, prints, starts, *sides in rows:
+                value, times = widen(hashes), np.frombuffer(counts, np.int32)
+                keys = [np.where(x := np.frombuffer(side, np.uint16), value ^ (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)) for side in sides]
+                yield value, *keys, np.repeat(np.frombuffer(prints, np.uint64)[::2], times), np.repeat(np.frombuffer(docs_, np.int64), times), np.frombuffer(starts, np.int32)
+
+        def large(rows: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            """As group(), of rows in a file: first which keys more than one text has, then the places with them. Held are the keys, not the
+            places. Texts that are equal all stay; those that are copies as a whole go in any case."""
+            with tempfile.TemporaryFile(prefix="anchors-") as f:
+                known: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None, None]
+                for row in rows:
+                    pickle.dump(row, f)
+                    _, *keys, text, _, _ = next(parts(iter([row])))
+                    for k in (0, 1):
+                        key, low, high = keys[k], text, text
+                        if known[k] is not None:
+                            key, low, high = np.concatenate([known[k][0], key]), np.concatenate([known[k][1], text]), np.concatenate([known[k][2], text])
+                        order = np.argsort(key, kind="stable")
+                        key = key[order]
+                        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                        known[k] = key[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+                shared = [key[(low != high) & (key != 0)] for key, low, high in known]
+                end = f.tell()
+                f.seek(0)
+                while f.tell() < end:
+                    _, before, after, _, doc, start = next(parts(iter([pickle.load(f)])))
+                    keep = np.isin(before, shared[0]) | np.isin(after, shared[1])
+                    pair = np.unique(np.stack([doc[keep], start[keep].astype(np.int64)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1].astype(np.int32))], names=["doc_id", "start"])
+
+        def rows_of() -> Iterator[tuple[int, list[bytes]]]:
+            for batch in batches:
+                for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield g, row
+
+        for _, members in itertools.groupby(rows_of(), key=lambda x: x[0]):
+            held, size = [], 0
+            mine = (row for _, row in members)
+            for row in mine:
+                held.append(row)
+                size += sum(map(len, row))
+                if size > AT_ONCE:
+                    yield from large(itertools.chain(held, mine))
+                    held = []
+            if held:
+                yield group(held)
 
     spark = docs.sparkSession
     dealt = map_arrow(docs, find, "g int, hashes binary, counts binary, docs binary, prints binary, starts binary, before binary, after binary")
-    return map_arrow(dealt.repartition(tasks(spark), "g").sortWithinPartitions("g"), select, "doc_id long, start int")
+    # groups go round the tasks in turn, so that each has as many
+    return map_arrow(dealt.repartitionById(tasks(spark), F.pmod("g", F.lit(tasks(spark)))).sortWithinPartitions("g"), select, "doc_id long, start int")
 
 
 def contexts(texts: DataFrame) -> DataFrame:

@@ -173,6 +173,17 @@ def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
     assert got == brute.substrings(rows) and ran[0] > 100
 
 
+def test_suffix_dedup_of_a_large_group(spark, sf, documents, monkeypatch):
+    """Groups of anchors that go through a file: what is removed is the same."""
+    docs = spark.createDataFrame([(d, t) for d, t, _, _ in documents], "doc_id long, text string")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    once = {(r.doc_id, r.start) for r in suffix_dedup.shared_anchors(rows, 3).collect()}
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 1000)
+    assert once <= {(r.doc_id, r.start) for r in suffix_dedup.shared_anchors(rows, 3).collect()}
+    got = {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, brute.sha(bytes(r._left))) for r in suffix_dedup.dedup_substrings(docs).collect()}
+    assert got == brute.substrings([(d, t) for d, t, _, _ in documents])
+
+
 def test_suffix_sort_spills_and_recurs_at_production_size(monkeypatch):
     """A shard of the production size puts queues on disk; one with more pieces than BASE sorts them by recursion."""
     spilled, depth, spill, recur = [], [], induced_sort.BucketQueues.spill, induced_sort.sorted_suffixes

@@ -22,8 +22,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: A string of at most so many numbers of pieces ends the recursion: it is ranked by doubling, in about 50 bytes a number.
-BASE = 1 << 20
+#: A string of at most so many numbers of pieces ends the recursion: it is ranked by doubling, in about 50 bytes a number. A sweep works
+#: character by character, which is slow where pieces are of very many kinds, so this is well above what a usual shard has.
+BASE = 1 << 22
 #: Suffixes, and what they share.
 AT, SHARED = np.int32, np.int16
 

@@ -25,7 +25,7 @@ from .token_store import END_ID, PART, encoder, ended, load_model
 
 CAPACITY = 4096
 #: Pieces of a length are ranked in groups of about so many, each by one task.
-RANK_GROUP = 8192
+RANK_GROUP = 1024
 #: How fast prices fall, how much more an id of a long length is worth, and how many lengths a knapsack sees.
 RATE, LONG, SEEN = 3.0, 10.0, 128
 

@@ -152,9 +152,10 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     whole = clusters.groupBy("root").agg(F.count("*").alias("size"))
     banded = heads.join(clusters.select(F.col("node").alias("head"), "root").hint("merge"), "head").groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
     plan = whole.join(banded.hint("merge"), "root").select("root", "size", ((F.col("size") <= BLOCK) | (F.col("size").cast("double") * F.col("size") <= F.col("pairs"))).alias("at_once"))
-    placed = clusters.join(plan.hint("merge"), "root").select(F.col("node").alias("print"), "root", "size", "at_once")
+    plan, plan_at = materialize(plan, "plan")
+    placed = join_with_hot(clusters, plan, "root", clusters.count(), "size").select(F.col("node").alias("print"), "root", "size", "at_once")
     placed, placed_at = materialize(placed, "placed")
-    drop(spark, clusters_at, heads_at)
+    drop(spark, clusters_at, heads_at, plan_at)
     once = placed.filter("at_once").select("print", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "size")
     each = near.join(placed.filter("not at_once").select("print", "root").hint("merge"), "print").select("print", "root", "band", "hash", F.col("m").alias("size"))
     # in blocks, and each pair of blocks as one unit
@@ -212,15 +213,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     drop(spark, grams_at, near_at, placed_at)
     classes, classes_at = materialize(components(checked.select(F.col("print").alias("a"), F.col("up").alias("b"))), "linked")
     first = classes.select(F.col("node").alias("print"), "root").join(nodes.select("print", "first").hint("merge"), "print")
-    lowest = first.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = first.join(lowest.hint("merge"), "root").select("print", "class_id")
+    lowest, lowest_at = materialize(first.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("size")), "lowest")
+    named = join_with_hot(first, lowest, "root", classes.count(), "size").select("print", "class_id")
     links = checked.groupBy("print").agg(F.sum("links").alias("links"))
     of_node = nodes.join(links.hint("merge"), "print", "left").join(named.hint("merge"), "print", "left")
     of_node = of_node.select("print", "copies", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     of_node, of_node_at = materialize(of_node, "of_node")
     of_doc = join_with_hot(members, of_node, "print", members.count(), "copies").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
     of_doc, _ = materialize(of_doc.withColumnRenamed("doc_id", "doc"), "classes")
-    drop(spark, checked_at, classes_at, members_at, found_at, of_node_at)
+    drop(spark, checked_at, classes_at, members_at, found_at, of_node_at, lowest_at)
     result = docs.select("doc_id").join(of_doc.hint("merge"), F.col("doc_id") == F.col("doc"), "left")
     return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

@@ -60,6 +60,21 @@ def test_line_dedup_of_odd_rows(odd):
     assert line_dedup.dedup_lines(odd.limit(0)).collect() == []
 
 
+def test_line_dedup_with_an_outlying_id_and_earlier_runs(spark):
+    """One far id does not put all others in one batch; runs of earlier calls take lines from later documents."""
+    rows = [(k, f"a line that all have\nline number {k} alone\nline of pair {k // 2}") for k in range(40)] + [(10**15, "a line that all have\nline of pair 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r._n_dropped, r.text.count("\n")) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {k: ((k > 0) + k % 2, 2 - (k > 0) - k % 2) for k in range(40)} | {10**15: (2, 0)}
+    runs = line_dedup.LineRuns()
+    assert line_dedup.dropped_lines(docs.filter("doc_id < 20"), runs=runs).count() == 19
+    later = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs.filter("doc_id >= 20"), runs=runs).collect()}
+    assert later == {k: [0, 2] if k % 2 else [0] for k in range(20, 40)} | {10**15: [0, 1]}
+    assert sorted(len(x) for x in runs.levels)[-1] <= 1
+    runs.close(spark)
+    assert not spark.catalog.listTables() or not [t for t in spark.catalog.listTables() if t.name.startswith("siltstone_")]
+
+
 def test_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(fanout=2)
     for k in range(5):

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
@@ -381,20 +382,28 @@ def resolve(distinct: DataFrame) -> DataFrame:
     return map_arrow(distinct, run, "anchor long, mark long, owners array<long>")
 
 
-def cut(data: np.ndarray, spans: list[tuple[int, int, list[int] | None]]) -> tuple[bytes, int, int]:
-    """What is left of a text, and how many bytes and maximal runs of them went."""
+def cut(data: np.ndarray, offsets: np.ndarray, spans: pa.ListArray, copy: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What is left of each text, and how many bytes and maximal runs of them went. spans: for each text a list (or null) of (start, size,
+    strings): a context that goes whole, or the strings of it that go. copy: the texts that go whole."""
     edge = np.zeros(len(data) + 1, np.int32)
-    for start, size, strings in spans:
-        if strings is None:
-            edge[start] += 1
-            edge[start + size] -= 1
-        else:
-            at = start + np.array(strings)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + LENGTH, -1)
+    many = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    start, size, strings = spans.flatten().flatten()
+    at = np.repeat(offsets[:-1], many) + start.to_numpy(zero_copy_only=False)
+    whole = strings.is_null().to_numpy(zero_copy_only=False)
+    each = pc.fill_null(pc.list_value_length(strings), 0).to_numpy(zero_copy_only=False)
+    single = np.repeat(at, each) + strings.flatten().to_numpy(zero_copy_only=False)
+    for begin, end in ((at[whole], at[whole] + size.to_numpy(zero_copy_only=False)[whole]), (single, single + LENGTH), (offsets[:-1][copy], offsets[1:][copy])):
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return data[~gone].tobytes(), int(gone.sum()), runs
+    kept = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    heads = gone.copy()
+    heads[1:] &= ~gone[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    heads[first] = gone[first]  # runs end with their text
+    runs = np.concatenate([[0], np.cumsum(heads)])[offsets]
+    left = pa.BinaryArray.from_buffers(pa.binary(), len(kept) - 1, [None, pa.py_buffer(kept.astype(np.int32).tobytes()), pa.py_buffer(data[~gone].tobytes())])
+    return left, np.diff(offsets) - np.diff(kept), np.diff(runs)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -457,20 +466,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             for batch in slices(big, "text"):
                 data, offsets = text_arrays(batch, "text")
                 width = batch.num_columns
-                left, removed, runs = [], [], []
-                for k, (spans, copy) in enumerate(zip(batch.column(width - 2).to_pylist(), batch.column(width - 1).to_pylist())):
-                    mine = data[offsets[k] : offsets[k + 1]]
-                    if copy:
-                        result = b"", len(mine), 1
-                    elif spans:
-                        result = cut(mine, [(x["start"], x["size"], x["strings"]) for x in spans])
-                    else:
-                        result = mine.tobytes(), 0, 0
-                    left.append(result[0])
-                    removed.append(result[1])
-                    runs.append(result[2])
+                left, removed, runs = cut(data, offsets, batch.column(width - 2), batch.column(width - 1).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: width - 2], pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                    [*batch.columns[: width - 2], left, pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs)],
                     names=[*batch.schema.names[: width - 2], "left", "n_bytes", "n_removed", "n_spans"],
                 )
 

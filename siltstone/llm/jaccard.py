@@ -24,8 +24,8 @@ from .components import components
 from .token_store import texts_of
 
 WORDS, THRESHOLD, ROWS, RECALL = 5, 0.8, 6, 0.9998
-#: Clusters and bands larger than this are verified in blocks of so many nodes.
-BLOCK = 384
+#: Clusters and bands larger than this are verified in blocks of so many nodes, or in the mean so many n-grams where texts are long.
+BLOCK, GRAMS = 384, 1 << 19
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -138,32 +138,34 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     spark = docs.sparkSession
     found, found_at = materialize(signatures(docs, n, rows, bands_for(threshold, rows, recall)), "signatures")
     # equal sets: one node, found in the document with the smallest doc_id
-    members, members_at = materialize(found.select("doc_id", "print").distinct(), "members")
-    nodes, _ = materialize(members.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
+    members, members_at = materialize(found.select("doc_id", "print", "size").distinct(), "members")
+    nodes, _ = materialize(members.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("grams")), "nodes")
     signed = found.join(nodes.select("print", F.col("first").alias("doc_id")).hint("merge"), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"])
-    hashes, hashes_at = materialize(signed.select("print", F.posexplode("bands").alias("band", "hash")), "hashes")
+    hashes, hashes_at = materialize(signed.select("print", "size", F.posexplode("bands").alias("band", "hash")), "hashes")
     # candidates: nodes of one band hash hang on its smallest
-    heads = hashes.groupBy("band", "hash").agg(F.min("print").alias("head"), F.count("*").alias("m")).filter("m > 1")
+    blocks = lambda n, grams: F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(grams / F.lit(float(GRAMS)))).alias("blocks")
+    heads = hashes.groupBy("band", "hash").agg(F.min("print").alias("head"), F.count("*").alias("m"), blocks(F.count("*"), F.sum("size"))).filter("m > 1")
     heads, heads_at = materialize(heads, "heads")
-    near, near_at = materialize(hashes.join(heads.hint("merge"), ["band", "hash"]), "near")
+    near, near_at = materialize(hashes.drop("size").join(heads.hint("merge"), ["band", "hash"]), "near")
     drop(spark, hashes_at)
     clusters, clusters_at = materialize(components(near.filter("print <> head").select(F.col("print").alias("a"), F.col("head").alias("b"))), "clusters")
     # the pairs of a cluster as a whole, and those of its bands
-    whole = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    sized = clusters.join(nodes.select(F.col("print").alias("node"), "grams").hint("merge"), "node")
+    whole = sized.groupBy("root").agg(F.count("*").alias("size"), blocks(F.count("*"), F.sum("grams")))
     banded = heads.join(clusters.select(F.col("node").alias("head"), "root").hint("merge"), "head").groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
-    plan = whole.join(banded.hint("merge"), "root").select("root", "size", ((F.col("size") <= BLOCK) | (F.col("size").cast("double") * F.col("size") <= F.col("pairs"))).alias("at_once"))
+    plan = whole.join(banded.hint("merge"), "root").select("root", "size", "blocks", ((F.col("size") <= BLOCK) | (F.col("size").cast("double") * F.col("size") <= F.col("pairs"))).alias("at_once"))
     plan, plan_at = materialize(plan, "plan")
-    placed = join_with_hot(clusters, plan, "root", clusters.count(), "size").select(F.col("node").alias("print"), "root", "size", "at_once")
+    placed = join_with_hot(clusters, plan, "root", clusters.count(), "size").select(F.col("node").alias("print"), "root", "blocks", "at_once")
     placed, placed_at = materialize(placed, "placed")
     drop(spark, clusters_at, heads_at, plan_at)
-    once = placed.filter("at_once").select("print", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "size")
-    each = near.join(placed.filter("not at_once").select("print", "root").hint("merge"), "print").select("print", "root", "band", "hash", F.col("m").alias("size"))
+    once = placed.filter("at_once").select("print", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "blocks")
+    each = near.join(placed.filter("not at_once").select("print", "root").hint("merge"), "print").select("print", "root", "band", "hash", "blocks")
     # in blocks, and each pair of blocks as one unit
-    dealt = once.unionAll(each).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(BLOCK)))).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
+    dealt = once.unionAll(each).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     unit = ["root", "band", "hash", "i", "j"]
     units = units.select("print", "root", "band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
-    wanted = placed.select("print").join(nodes.hint("merge"), "print").select(F.col("first").alias("doc_id"), F.col("print").alias("wanted"), "copies")
+    wanted = placed.select("print").join(nodes.drop("grams").hint("merge"), "print").select(F.col("first").alias("doc_id"), F.col("print").alias("wanted"), "copies")
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     of_node = nodes.join(links.hint("merge"), "print", "left").join(named.hint("merge"), "print", "left")
     of_node = of_node.select("print", "copies", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     of_node, of_node_at = materialize(of_node, "of_node")
-    of_doc = join_with_hot(members, of_node, "print", members.count(), "copies").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+    of_doc = join_with_hot(members.drop("size"), of_node, "print", members.count(), "copies").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
     of_doc, _ = materialize(of_doc.withColumnRenamed("doc_id", "doc"), "classes")
     drop(spark, checked_at, classes_at, members_at, found_at, of_node_at, lowest_at)
     result = docs.select("doc_id").join(of_doc.hint("merge"), F.col("doc_id") == F.col("doc"), "left")

@@ -425,6 +425,18 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     assert got == {d: (classes[d], links[d]) for d in classes}
 
 
+def test_jaccard_of_long_texts(spark, monkeypatch):
+    """Blocks are cut by n-grams where texts are long."""
+    monkeypatch.setattr(jaccard, "GRAMS", 500)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*base, f"a{k}"])) for k in range(12)] + [(20, " ".join(base[:150]))]
+    classes, links, _ = brute.similar(rows)
+    ran, real = [], jaccard.map_arrow
+    monkeypatch.setattr(jaccard, "map_arrow", lambda df, f, schema: (ran.append(df.agg(F.max("j")).first()[0]) if "second" in df.columns else None) or real(df, f, schema))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (classes[d], links[d]) for d in classes} and ran[0] >= 5
+
+
 def test_jaccard_band_by_band(spark, monkeypatch):
     """Chains of candidates: few pairs meet in a band, so clusters are not verified as a whole. One row a band makes chance ones."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)

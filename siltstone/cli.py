@@ -20,7 +20,6 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from .api import FileIndex, find_root
-from .config import Config
 from .operators import report
 from .plans.find import FindError
 from .sources import binary
@@ -184,5 +183,3 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     return run(spark, sys.argv[1:])
 
-
-__all__ = ["Config", "main", "options", "run"]

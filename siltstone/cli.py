@@ -12,6 +12,7 @@ INDEX is the name of a table (main, cache, scan-...); header also takes the path
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import os
 import sys
@@ -115,7 +116,17 @@ def fixes(index: FileIndex, name: str, words: list[str], dry_run: bool, out: Pri
         raise ValueError("fixes list, pop, discard VERSION or clear")
 
 
-def run(spark: SparkSession, argv: list[str], out: Print = print) -> int:
+def accept(index: FileIndex, tokens: list[str], ask: Callable[[str], str]) -> list[tuple[str, str]] | None:
+    """The issues that the user agrees to, one question each, for --fix manual; None for other command lines."""
+    if ("--fix", "manual") not in zip(tokens, tokens[1:]):
+        return None
+    starts = [t.removesuffix(".idx") for t in itertools.takewhile(lambda t: not t.startswith("--") and t not in ("!", "("), tokens)] or ["all"]
+    names = [n for n in index.store.names() if "all" in starts or n in starts or "scan" in starts and n.startswith("scan-")]
+    found = dict.fromkeys((r["path"], r["type"]) for n in names for r in index.issues(n).toLocalIterator())
+    return [(path, kind) for path, kind in found if ask(f"fix {kind} of {path}? [y/N] ").strip().lower() in ("y", "yes")]
+
+
+def run(spark: SparkSession, argv: list[str], out: Print = print, ask: Callable[[str], str] = input) -> int:
     """The exit status of a command line."""
     args = options().parse_args(argv)
     try:
@@ -128,7 +139,7 @@ def run(spark: SparkSession, argv: list[str], out: Print = print) -> int:
             case "init":
                 out(index.repository_id)
             case "find":
-                for frame in index.find(rest, dry_run=args.dry_run):
+                for frame in index.find(rest, accepted=accept(index, rest, ask), dry_run=args.dry_run):
                     for line in sorted("\t".join(map(str, r)) for r in frame.toLocalIterator()):
                         out(line)
             case "fix" if len(rest) >= 2:

@@ -298,6 +298,15 @@ def test_command_lines(spark, tree, capsys):  # noqa: F811
     assert "siltstone:" in capsys.readouterr().err
 
 
+def test_manual_fixes_ask(spark, index):
+    index.edit({"uid": "7", "gid": "7"}, ["file1.txt", "binary.bin"])
+    asked = []
+    words = ["-C", index.root, "find", "main", "--fix", "manual", "--name", "*.*"]
+    assert cli.run(spark, words, lambda line: None, lambda q: asked.append(q) or ("y" if "file1" in q else "n")) == 0
+    assert asked == ["fix ownership of binary.bin? [y/N] ", "fix ownership of file1.txt? [y/N] "]
+    assert main(index)["file1.txt"].uid != 7 and main(index)["binary.bin"].uid == 7
+
+
 def test_reset_keeps_a_snapshot(spark, index):
     index.reset()
     assert index.stats() == (0, 0) and [m["tags"] for m in index.snapshots()] == [["recovery"]]

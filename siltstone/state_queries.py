@@ -28,7 +28,12 @@ SIGNATURE = b"TEST"
 
 
 def folder() -> str:
-    made = tempfile.mkdtemp(prefix="siltstone-")
+    """A new folder that all tasks see: below spark.checkpoint.dir, or a temporary one where all run on this machine."""
+    context = SparkSession.active().sparkContext
+    shared = (context.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    if not shared.startswith("/") and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="siltstone-", dir=shared if shared.startswith("/") else None)
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
 

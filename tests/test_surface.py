@@ -205,9 +205,8 @@ def test_composed_filters(spark):
 
 def test_reports(spark, index, capsys):
     index.config = index.config.override("level:1", "hash_workers:2")
-    (index_dir := index.home)
     for name in (f"tmp-{os.getpid()}", "scan-999999999-1.idx", "tmp-none"):
-        open(os.path.join(index_dir, name), "w").close()
+        open(os.path.join(index.home, name), "w").close()
     told = index.status_report()
     assert told["unchanged"] == len(TREE) and told["clean"] == {"main": True} and len(told["temporary"]) == 3
     assert index.orphans() == ["scan-999999999-1.idx"] and "clean" not in index.status_report(0)
@@ -215,8 +214,7 @@ def test_reports(spark, index, capsys):
     assert [r.path for r in index.status().collect()] == sorted(TREE)
     assert index.length() == len(TREE) and index.lookup("./file1.txt")["context"] == "main" and index.lookup("none") is None
     assert len(index.repository_id) == 32 == len(FileIndex(spark, index.root).repository_id)
-    (index_dir2 := os.path.join(index.root, "copy.txt"))
-    with open(index_dir2, "wb") as f:
+    with open(os.path.join(index.root, "copy.txt"), "wb") as f:
         f.write(TREE["file1.txt"])
     assert index.format_duplicates() == "copy.txt\nfile1.txt" and json.loads(index.format_duplicates("json"))["files"] == ["copy.txt", "file1.txt"]
     assert index.format_duplicates("human").startswith("2 files of hash ")

@@ -26,8 +26,9 @@ from .token_store import END_ID, PART, encoder, ended, load_model
 CAPACITY = 4096
 #: Pieces of a length are ranked in groups of about so many, each by one task.
 RANK_GROUP = 1024
-#: How fast prices fall, how much more an id of a long length is worth, and how many lengths a knapsack sees.
-RATE, LONG, SEEN = 3.0, 10.0, 128
+#: How fast prices fall, how much more an id of a long length is worth at most, how steeply that grows with the length, and how many
+#: lengths a knapsack sees.
+RATE, MORE, LONG, SEEN = 3.0, 10.0, 16.0, 128
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
@@ -63,8 +64,8 @@ def program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tupl
     """
     left = counts.copy()
     used: Counter = Counter()
-    worth = (1 + lengths / capacity) ** LONG * lengths
-    price, turn = worth.copy(), 0
+    weight = ((1 + lengths / capacity) / 2) ** LONG
+    price, turn = lengths * (1 + MORE * weight), 0
     while len(live := np.flatnonzero(left)):
         stride = -(-len(live) // SEEN)
         seen = live[turn % stride :: stride]
@@ -73,8 +74,9 @@ def program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tupl
         at, n = seen[list(found)], np.array(list(found.values()), np.int64)
         step = int((left[at] // n).min())
         left[at] -= n * step
-        # multiplicative weights: the price falls by exp(-RATE * share) with the share covered of its length
-        price[at] = worth[at] * np.exp(-RATE * (1 - left[at] / counts[at]))
+        # multiplicative weights: a weight falls by exp(-RATE * share) with the share covered of its length. Room is worth something at
+        # any weight, so that full sequences win among like ones
+        price[at] = lengths[at] * (1 + MORE * weight[at] * np.exp(-RATE * (1 - left[at] / counts[at])))
         used[tuple(sorted(zip(lengths[at].tolist(), n.tolist())))] += step
     return dict(used)
 

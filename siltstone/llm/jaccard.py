@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep)), batch.column(3).take(pa.array(keep)), pa.array([made[k] for k in keep], pa.binary())], names=["print", "copies", "grams"])
 
     grams = map_arrow(texts, sets, "print binary, copies long, grams binary").dropDuplicates(["print"])
-    signs = found.select("print", "bands").join(placed.filter("not at_once").select("print").hint("merge"), "print").dropDuplicates(["print"])
+    signs = signed.select("print", "bands").join(placed.filter("not at_once").select("print").hint("merge"), "print")
     grams, grams_at = materialize(grams.join(signs.hint("merge"), "print", "left"), "grams")
     release(spark)
 

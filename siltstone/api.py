@@ -203,7 +203,7 @@ class FileIndex:
         return r["n_files"], r["total_size"]
 
     def find(self, tokens: list[str], now_ns: int | None = None, accepted: list[tuple[str, str]] | None = None, dry_run: bool = False) -> list[DataFrame]:
-        """A frame for each action. --fix, --delete and --update-hash write what they change as a new version of the tables they start
+        """A frame for each action, in path order. --fix, --delete and --update-hash write what they change as a new version of the tables they start
         from, and --fls, --export and --extract their files (not with dry_run). `--fix manual` applies the accepted issues, as (path, type)
         of issues(). With --warn, rows whose test cannot be decided are logged."""
         now = now_ns if now_ns is not None else time.time_ns()
@@ -215,7 +215,7 @@ class FileIndex:
         if query.options.get("warn") == "True":
             for r in find_plan.undecided(find_plan.selected(indices, query, disk, self.load, clean), query).limit(100).collect():
                 log.warning("%s in %s: the test cannot be decided", r["path"], r["index_type"])
-        out = find_plan.find(indices, tokens, now, disk, self.load, chosen, self.hash_type, clean)
+        out = find_plan.find(indices, tokens, now, disk, self.load, chosen, self.hash_type, clean, ordered=True)
         for (action, value), frame in zip(query.actions, out):
             if not dry_run:
                 self._carry_out(action, value, frame, indices)

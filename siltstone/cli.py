@@ -140,8 +140,8 @@ def run(spark: SparkSession, argv: list[str], out: Print = print, ask: Callable[
                 out(index.repository_id)
             case "find":
                 for frame in index.find(rest, accepted=accept(index, rest, ask), dry_run=args.dry_run):
-                    for line in sorted("\t".join(map(str, r)) for r in frame.toLocalIterator()):
-                        out(line)
+                    for r in frame.toLocalIterator():
+                        out("\t".join(map(str, r)))
             case "fix" if len(rest) >= 2:
                 name, what, words = rest[0], rest[1], rest[2:]
                 if what == "header":

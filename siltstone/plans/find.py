@@ -376,9 +376,14 @@ def selected(indices: dict[str, DataFrame], query: Query, disk: DataFrame | None
     return rows
 
 
-def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, accepted: DataFrame | None = None, hash_type: int = 2, clean: list[str] | None = None) -> list[DataFrame]:
-    """One DataFrame for each action of the command line. The rows of an action have no order; lines of a report are sorted by whoever
-    shows them."""
+def find(indices: dict[str, DataFrame], tokens: list[str], now_ns: int, disk: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None, accepted: DataFrame | None = None, hash_type: int = 2, clean: list[str] | None = None, ordered: bool = False) -> list[DataFrame]:
+    """One DataFrame for each action of the command line; if ordered, for a sink, with its rows in path order."""
     query = parse(tokens, now_ns)
     rows = matching(selected(indices, query, disk, load, clean), query)
-    return [act(rows, action, value, disk, accepted, hash_type) for action, value in query.actions]
+    if not ordered:
+        return [act(rows, action, value, disk, accepted, hash_type) for action, value in query.actions]
+    out = []
+    for action, value in query.actions:
+        made = act(rows.orderBy("path", "index_type"), action, value, disk, accepted, hash_type)
+        out.append(made.orderBy("path") if "path" in made.columns else made)  # a join on the way loses the order
+    return out

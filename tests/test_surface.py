@@ -173,6 +173,13 @@ def test_actions_that_write(spark, index, tmp_path):
     assert [r.line for r in index.find(["main", "--index-clean", "--quit"])[0].collect()] == [min(TREE)]
 
 
+def test_results_are_in_path_order(spark, index):
+    for words in (["--print"], ["--ls"], ["--checksum"], ["--validate"], ["--printf", "%p"]):
+        frame = index.find(["main", *words])[0]
+        got = [r[-1].split()[-1] if "line" in frame.columns else r.path for r in frame.collect()]
+        assert got == sorted(TREE)
+
+
 def test_warnings_of_undecided_tests(spark, index, caplog):
     df = index.store.read("main").withColumn("mode", F.when(F.col("path") != "file1.txt", F.col("mode")))
     query = find.parse(["main", "--perm", "644", "--warn"], 0)
